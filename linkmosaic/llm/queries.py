@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from linkmosaic.llm import licenses, mixing, sharding
+from linkmosaic.llm import licenses, mixing, sharding, simhash, vectors, warc
 
 QUERIES = {
+    "op1_pivot_top_k": vectors.op1_pivot_top_k,
+    "op3_cell_near_dedup": vectors.op3_cell_near_dedup,
     "op4_license_scan": licenses.op4_license_scan,
+    "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_feistel_sharding": sharding.op10_feistel_sharding,
 }
 ORACLES = {
+    "op1_pivot_top_k": vectors.ORACLE_TOP_K,
+    "op3_cell_near_dedup": vectors.ORACLE_NEAR,
     "op4_license_scan": licenses.ORACLE,
+    "op6_warc_round_trip": warc.ORACLE,
 }
