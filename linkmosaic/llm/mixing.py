@@ -85,7 +85,7 @@ def _pivot(units: Column, level: int, seed: int) -> Column:
 
 
 def pivotal_copies(df: DataFrame, carry: list[str], seed: int = 7, cap: float = 3.0, share: float = 1.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """Rows (source, size, key, *carry) -> the rows with source_size, target, copies.
+    """Rows (source, size, key, *carry) -> the rows with source_size, target, copies (carry must not name the others).
 
     A row has the expectation rate = target / source_size of copies: its whole part for certain, the
     rest p by dependent rounding.  Rows of one source are hashed to groups of about FAN_IN; a group
@@ -126,7 +126,7 @@ def pivotal_copies(df: DataFrame, carry: list[str], seed: int = 7, cap: float =
         settled = settled.unionByName(out.filter(~fractional))
         left = out.filter(fractional).withColumn("g", F.floor(F.col("g") / FAN_IN).cast("long"))
         groups_left, level = math.ceil(groups_left / FAN_IN), level + 1
-    return settled.select("source", "size", *carry, "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    return settled.select("source", "size", "key", *carry, "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
 def mix_documents(df: DataFrame, seed: int = 7) -> DataFrame:
