@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +12,12 @@ from linkmosaic.operators.components import connected_components
 from linkmosaic.sources.shared import discard, materialize
 
 
+SMALL = 200_000  # edges up to which one task, or a copy for every task, beats rounds of joins
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(u, v) -> (id, component), isolated nodes included."""
-    found = connected_components(edges.select("u", "v"))
+    found = connected_components(edges.select("u", "v"), small=SMALL)
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -52,13 +58,37 @@ def topology_penalty(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(c)).withColumn("penalty", penalty.cast("double"))
 
 
-def relax(starts: DataFrame, edges: DataFrame, cost: str | None = None, limit: float | None = None, rounds: int = 10_000) -> DataFrame:
-    """Least costs by repeated relaxation: starts(src, id, dist), edges(u, v[, cost]) directed -> (src, id, dist).
+def _paths(starts: DataFrame, edges: pd.DataFrame, limit: float | None) -> DataFrame:
+    near: dict[int, list[tuple[int, float]]] = {}
+    for u, v, w in edges.itertuples(index=False):
+        near.setdefault(int(u), []).append((int(v), float(w)))
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        best: dict[int, float] = {}
+        heap = sorted((float(d), int(i)) for i, d in g[["id", "dist"]].itertuples(index=False))
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x in best:
+                continue
+            best[x] = d
+            for y, w in near.get(x, ()):
+                if y not in best and (limit is None or d + w <= limit):
+                    heapq.heappush(heap, (d + w, y))
+        return pd.DataFrame({"src": g["src"].iloc[0], "id": list(best), "dist": list(best.values())})
+
+    return starts.groupBy("src").applyInPandas(search, "src long, id long, dist double")
+
+
+def relax(starts: DataFrame, edges: DataFrame, cost: str | None = None, limit: float | None = None, rounds: int = 10_000, small: int = SMALL) -> DataFrame:
+    """Least costs: starts(src, id, dist), edges(u, v[, cost]) directed, costs not negative -> (src, id, dist).
 
-    Only rows that the last round improved are joined on; the loop ends when none is.  Every round is
-    written to the shared folder.
+    Up to `small` edges go to every task, which searches from the sources that it has.  More are relaxed by
+    joins: only rows that the last round improved are joined on, every round is written to the shared
+    folder, and the loop ends when none improves.
     """
     step = edges.select("u", "v", (F.col(cost) if cost else F.lit(1.0)).alias("w"))
+    if step.limit(small + 1).count() <= small:
+        return _paths(starts, step.toPandas(), limit)
     best = materialize(starts.groupBy("src", "id").agg(F.min("dist").alias("dist")).withColumn("new", F.lit(True)), "relax")
     for _ in range(rounds):
         sent = best.filter("new").join(step, F.col("id") == F.col("u")).select("src", F.col("v").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
@@ -193,7 +223,7 @@ def shortcut_multiplier(path: Column, length: Column, high: float = 0.9, base: f
 def connected_sizes(selected: DataFrame, patches: DataFrame) -> DataFrame:
     """selected(id, patch1, patch2, cost) -> with connected_size: patches and corridors of its component together."""
     links = selected.select(F.col("patch1").alias("u"), F.col("patch2").alias("v"))
-    parts = materialize(connected_components(links), "sizes")
+    parts = materialize(connected_components(links, small=SMALL), "sizes")
     sized = parts.join(patches.select(F.col("patch_id").alias("id"), F.col("cell_count").cast("double").alias("n")), "id", "left").groupBy("component").agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("s"))
     placed = selected.join(parts.withColumnRenamed("id", "patch1"), "patch1")
     costs = placed.groupBy("component").agg(F.sum("cost").cast("double").alias("k"))
@@ -204,7 +234,7 @@ def connected_sizes(selected: DataFrame, patches: DataFrame) -> DataFrame:
 def vector_components(selected: DataFrame, patches: DataFrame) -> DataFrame:
     """selected(id, patch_ids, area) -> with component_id, connected_area (patches alone), efficiency, multipart."""
     star = selected.withColumn("_o", F.explode(F.slice("patch_ids", 2, F.greatest(F.size("patch_ids") - 1, F.lit(1))))).select(F.col("patch_ids")[0].alias("u"), F.col("_o").alias("v"))
-    parts = materialize(connected_components(star), "sizes")
+    parts = materialize(connected_components(star, small=SMALL), "sizes")
     areas = parts.join(patches.select(F.col("patch_id").alias("id"), "area"), "id").groupBy("component").agg(F.sum("area").alias("connected_area"))
     ids = areas.select("component", F.row_number().over(Window.orderBy("component")).cast("long").alias("component_id"), "connected_area")
     out = selected.withColumn("_first", F.col("patch_ids")[0]).join(parts.withColumnRenamed("id", "_first"), "_first").join(ids, "component")

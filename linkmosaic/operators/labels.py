@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkmosaic.operators.components import connected_components
+from linkmosaic.operators.components import connected_components, merge_pairs
 from linkmosaic.sources.schema import RasterMeta
 
 TILE = 512
@@ -29,23 +29,6 @@ def dense_numbers(keys: DataFrame, key: str, name: str, buckets: int = 4096) ->
     return held.withColumn("_i", inside).join(offsets, "_b").select(key, (F.col("_off") + F.col("_i")).cast("long").alias(name))
 
 
-def merge_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of everyone's component, for n items and pairs (a, b): hooking and pointer jumping."""
-    label = np.arange(n)
-    while True:
-        x, y = label[a], label[b]
-        if (x == y).all():
-            return label
-        low = np.minimum(x, y)
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
 def label_patches(cells: DataFrame, meta: RasterMeta, connectivity: int = 8, tile: int = TILE) -> DataFrame:
     """cells(cell, r, c) of a mask -> with patch_id, numbered from 1 by the smallest cell.
 

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from linkmosaic.errors import InputError
 from linkmosaic.operators.components import connected_components
-from linkmosaic.operators.graph import component_sizes, components
+from linkmosaic.operators.graph import SMALL, component_sizes, components
 from linkmosaic.operators.masks import disc_offsets
 from linkmosaic.sources.shared import discard, materialize
 
-SMALL = 200_000  # edges up to which one task finds a forest faster than rounds of joins
-
 
 class Groups:
     """Disjoint sets with weights; the heavier root stays, on a tie that of the first argument."""
