@@ -5,12 +5,14 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmosaic.functions import units
-from linkmosaic.operators import cellsets, graph, labels, landscape, masks, pairs, selection
-from linkmosaic.plans.oracles import prune, sql
+from linkmosaic.operators import cellsets, graph, labels, landscape, masks, pairs, routing, selection
+from linkmosaic.plans import raster, vector
+from linkmosaic.plans.oracles import cte, prune, sql
 from linkmosaic.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,31 +397,139 @@ def bridge_pairs(spark, sf_dir):
     return rounded(selection.bridge_pairs(c, patches, 1_000_000.0), "score").select("mid", "id1", "id2", "cost", "score")
 
 
-@query(sql("select scenario_id, id from scanned", "scanned"))
-def circuit_utility_primary(spark, sf_dir):
-    """The greedy choice where neither loops nor pairs through a patch are taken: by ROI, while affordable and joining."""
-    import pandas as pd
-
-    patches, c = nation_candidates(spark, sf_dir)
-    scenarios = fixtures.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("scenario_id"), (50.0 * (F.col("r_regionkey") + 1)).alias("budget"))
-    pool = c.agg(F.sort_array(F.collect_list(F.struct("id", "patch1", "patch2", "cost", "length", "roi"))).alias("c"))
+def packed(candidates: DataFrame, patches: DataFrame, budgets: DataFrame, choose: Callable, schema: str) -> DataFrame:
+    """Runs choose(candidates, weights, budget) -> rows in one task for each (scenario_id, budget)."""
+    pool = candidates.agg(F.sort_array(F.collect_list(F.struct("id", "patch1", "patch2", "cost", "length", "roi"))).alias("c"))
     sizes = patches.agg(F.collect_list(F.struct("patch_id", "weight")).alias("w"))
 
     def run(batches):
         for b in batches:
             for sid, budget, cs, w in b[["scenario_id", "budget", "c", "w"]].itertuples(index=False):
                 given = [{"id": x["id"], "patch_ids": [x["patch1"], x["patch2"]], "cost": x["cost"], "length": x["length"], "roi": x["roi"]} for x in cs]
-                picks, _ = selection.circuit_utility(given, {x["patch_id"]: x["weight"] for x in w}, budget, seeding=False, far_enough=lambda *_: False)
-                yield pd.DataFrame({"scenario_id": [sid] * len(picks), "id": [p["id"] for p in picks]}, dtype="int64")
+                rows = choose(given, {x["patch_id"]: x["weight"] for x in w}, budget)
+                yield pd.DataFrame([(sid, *r) for r in rows], columns=[x.split()[0] for x in schema.split(", ")])
+
+    return budgets.crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(sizes)).mapInPandas(run, schema)
+
+
+def scenarios(spark, sf_dir):
+    key = F.col("r_regionkey").cast("long")
+    return fixtures.read(spark, sf_dir, "region").select(key.alias("scenario_id"), (50.0 * (key + 1)).alias("budget"))
+
+
+@query(sql("select scenario_id, id from scanned", "scanned"))
+def circuit_utility_primary(spark, sf_dir):
+    """The greedy choice where neither loops nor pairs through a patch are taken: by ROI, while affordable and joining."""
+    patches, c = nation_candidates(spark, sf_dir)
 
-    return scenarios.crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(sizes)).mapInPandas(run, "scenario_id long, id long")
+    def choose(given, weights, budget):
+        picks, _ = selection.circuit_utility(given, weights, budget, seeding=False, far_enough=lambda *_: False)
+        return [(p["id"],) for p in picks]
+
+    return packed(c, patches, scenarios(spark, sf_dir), choose, "scenario_id long, id long")
 
 
 @query()
 def circuit_utility_full(spark, sf_dir):
     patches, c = nation_candidates(spark, sf_dir)
-    scenarios = fixtures.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("scenario_id"), (50.0 * (F.col("r_regionkey") + 1)).alias("budget"))
-    return selection.scenario_sweep(c, patches, scenarios)
+    return selection.scenario_sweep(c, patches, scenarios(spark, sf_dir))
+
+
+@query()
+def hybrid_leftover(spark, sf_dir):
+    """What is added to a greedy choice when the budget doubles."""
+    patches, c = nation_candidates(spark, sf_dir)
+
+    def choose(given, weights, budget):
+        picks, stats = selection.circuit_utility(given, weights, budget)
+        added, _ = selection.spend_leftover(given, picks, weights, 2 * budget - stats["budget_used"])
+        return [(k, p["id"], p["cost"]) for k, p in enumerate(added)]
+
+    return packed(c, patches, scenarios(spark, sf_dir), choose, "scenario_id long, ord int, id long, cost double")
+
+
+OPEN = "open as (select cell, r, c, false as bridge from cells where value > 15 and value < 46 union all select cell, r, c, true from labels8 where patch_id not in (select patch_id from big))"
+STEPS = "steps as (select a.cell as u, b.cell as v, case when b.bridge then 0 else 1 end as w from open a join open b on abs(a.r - b.r) + abs(a.c - b.c) = 1)"
+BEGIN = "begin_at as (select o.cell as src from open o join labels8 l on abs(o.r - l.r) + abs(o.c - l.c) = 1 where l.patch_id = (select min(patch_id) from big))"
+WAYS = "ways as (select distinct src, src as id, 0 as d from begin_at union select w.src, s.v, w.d + s.w from ways w join steps s on s.u = w.id where w.d + s.w <= 5)"
+
+
+@query(cte("labels8", "big") + f",\n{OPEN},\n{STEPS},\n{BEGIN},\n{WAYS}\nselect id as cell, min(d)::double as cost from ways group by id")
+def route_cost(spark, sf_dir):
+    """Least cost of open cells from beside the first patch of 3 cells or more; stray habitat is free."""
+    cells, meta = fixtures.raster(spark, sf_dir)
+    found, _ = labelled(spark, sf_dir)
+    big = labels.min_size(found, 3)
+    stray = found.join(big.select("cell"), "cell", "left_anti").select("cell", "r", "c", F.lit(True).alias("bridge"))
+    free = cells.filter("value > 15 and value < 46").select("cell", "r", "c", F.lit(False).alias("bridge")).unionByName(stray)
+    edges = routing.routing_graph(free, meta, 4)
+    first = big.join(F.broadcast(big.agg(F.min("patch_id").alias("patch_id"))), "patch_id")
+    ring = masks.shifted(first.select("r", "c"), pairs.moves(4), meta).select(F.col("target").alias("cell")).distinct()
+    start = free.join(ring, "cell").select(F.col("cell").alias("src"), F.col("cell").alias("id"), F.lit(0.0).alias("dist"))
+    return graph.relax(start, edges, "cost", 5.0).groupBy(F.col("id").alias("cell")).agg(F.min("dist").alias("cost"))
+
+
+@query()
+def raster_candidates(spark, sf_dir):
+    res = raster_run(spark, sf_dir)
+    return res.tables["candidates"].select("id", "patch1", "patch2", "cost", "length", "roi", "variant", "path_cells")
+
+
+def raster_run(spark, sf_dir):
+    cells, meta = fixtures.raster(spark, sf_dir)
+    return raster.find_corridors(cells, meta, patch_ranges=[fixtures.HABITAT], budget=120, min_patch_size=5, max_search_distance=12, obstacle_ranges=[fixtures.OBSTACLE])
+
+
+@query()
+def raster_pipeline(spark, sf_dir):
+    return raster_run(spark, sf_dir).tables["corridors"].select("id", "patch1", "patch2", "cost", "length", "roi", "thicken_factor", "connected_size", "buffered_cells")
+
+
+@query(sql("select s_suppkey as id, w * h as area, 2 * (w + h) as perimeter, x + w / 2 as x, y + h / 2 as y from (select s_suppkey, (s_suppkey % 10) * 220.0::double as x, (s_suppkey // 10) * 220.0::double as y, (60 + s_nationkey * 2)::double as w, (60 + (s_suppkey * 7) % 50)::double as h from supplier)"))
+def polygon_shapes(spark, sf_dir):
+    shapes = vector.prepared(fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir)))
+    return rounded(shapes.select("id", "area", "perimeter", "x", "y"), "area", "perimeter", "x", "y")
+
+
+@query("with b as (select s_suppkey as id, (s_suppkey % 10) * 220.0::double as x, (s_suppkey // 10) * 220.0::double as y, (60 + s_nationkey * 2)::double as w, (60 + (s_suppkey * 7) % 50)::double as h from supplier), d as (select a.id as i, b.id as j, sqrt(greatest(0, a.x - b.x - b.w, b.x - a.x - a.w)^2 + greatest(0, a.y - b.y - b.h, b.y - a.y - a.h)^2) as dist from b a join b on a.id < b.id) select i, j, round(dist, 6) as dist from d where dist <= 300")
+def near_polygons(spark, sf_dir):
+    shapes = vector.prepared(fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir)))
+    return rounded(vector.near_polygons(shapes, 300.0).select("i", "j", "dist"), "dist")
+
+
+@query()
+def merge_touching(spark, sf_dir):
+    """Rectangles widened so that neighbours in a row touch: merged groups with their area."""
+    rects = fixtures.rectangles(spark, sf_dir).withColumn("w", F.lit(220.0))
+    merged = vector.merge_touching(vector.prepared(fixtures.rectangle_polygons(rects)))
+    return rounded(vector.prepared(merged).select("id", "area"), "area")
+
+
+def vector_run(spark, sf_dir):
+    shapes = fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir)).filter("id < 60")
+    return vector.find_corridors(shapes, 2.0, crs=32618, min_patch_size=0.1, min_corridor_width=20, max_search_distance=200)
+
+
+@query()
+def vector_candidates(spark, sf_dir):
+    return vector_run(spark, sf_dir).tables["candidates"].select("id", "patch1", "patch2", "cost", "length", "roi", "is_connected")
+
+
+@query()
+def vector_pipeline(spark, sf_dir):
+    return vector_run(spark, sf_dir).tables["corridors"].select("id", "patch1", "patch2", "patch_ids", "corridor_area_m2", "corridor_length_m", "component_id", "connected_area_m2", "efficiency")
+
+
+@query("select c_custkey as id, round(x, 4) as lon, round(y, 4) as lat from (select c_custkey, (c_custkey * 7) % 360 - 179.5 as x, (c_custkey * 11) % 160 - 79.5 as y from customer)")
+def utm_round_trip(spark, sf_dir):
+    """Degrees to the zone's metres and back."""
+    k = F.col("c_custkey")
+    at = fixtures.read(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7) % 360 - 179.5).alias("lon"), ((k * 11) % 160 - 79.5).alias("lat"))
+    zone = F.floor((F.col("lon") + 180) / 6) + 1
+    east, north = units.utm_forward(F.col("lon"), F.col("lat"), zone)
+    lon, lat = units.utm_inverse(F.col("e"), F.col("n"), F.col("zone"), F.col("lat") < 0)
+    out = at.withColumns({"zone": zone, "e": east, "n": north}).select("id", lon.alias("lon"), lat.alias("lat"))
+    return rounded(out, "lon", "lat", digits=4)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
