@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkmosaic.llm.common import SPACED_WORD, table, text_of
+from linkmosaic.llm.common import SPACED_WORD, pack_extra, table, text_of, unpack_extra
 from linkmosaic.llm.mixing import pivotal_copies
 from linkmosaic.llm.packing import pack_documents
 from linkmosaic.llm.quality import score_documents, train
@@ -17,7 +17,8 @@ from linkmosaic.sources.shared import materialize
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line model rejects (score under 1/2); it learns from `labels` of what it is given."""
     crf = train(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, crf).filter(F.col("score") >= 0.5).select(*docs.columns)
+    scored = score_documents(pack_extra(docs), crf)
+    return unpack_extra(scored.filter(F.col("score") >= 0.5), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +26,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in id and text are one document; rows without an id have no name to be kept by and all stay.
     """
+    columns = docs.columns
+    docs = pack_extra(docs)
     named = docs.filter(F.col("doc_id").isNotNull())
     groups = materialize(simhash_groups(named), "groups")
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     out = named.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
     if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+        first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
+        out = out.withColumn("_nth", first).filter("_nth = 1")
+    out = out.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return unpack_extra(out, columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it: 0 to 3 rows."""
     key = F.xxhash64("doc_id", "source", "text")
-    keyed = docs.withColumn("_key", key)
+    keyed = pack_extra(docs).withColumn("_key", key)
     sized = keyed.select("doc_id", "source", F.col("_key").alias("key"), F.regexp_count(text_of(), F.lit(SPACED_WORD)).cast("long").alias("size"))
     copies = pivotal_copies(materialize(sized, "mix"), ["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "copies")
     same = materialize(copies.groupBy("_id", "_k").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix")
@@ -53,7 +58,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("_id", "_k").orderBy("_k"))
         joined = joined.withColumn("_nth", nth)
         times = F.floor(F.col("copies") / F.col("rows")) + (F.col("_nth") <= F.col("copies") % F.col("rows")).cast("int")
-    return joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).select(*docs.columns)
+    out = joined.filter(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
+    return unpack_extra(out, docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmosaic.llm.common import table, text_of
+from linkmosaic.llm.common import pack_extra, table, text_of, unpack_extra
 from linkmosaic.sources.shared import materialize
 
 SPAN = 400  # bytes of a string that counts as repeated
@@ -353,10 +353,10 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def strip_repeats(df: DataFrame) -> DataFrame:
     """Documents with the repeated strings cut out of their texts, n_chars adapted; other columns as they are.
 
-    Bytes of a character that is cut through are left out with it.  A text of which nothing is left is empty.
+    Bytes of a character that is cut through are left out with it.  A text of which nothing is left is empty;
+    a null text stays null.
     """
-    fields = list(df.schema.fields)
-    at = {f.name: i for i, f in enumerate(fields)}
+    packed = pack_extra(df)
 
     def run(batches):
         for b in batches:
@@ -371,7 +371,8 @@ def strip_repeats(df: DataFrame) -> DataFrame:
                 cols[j] = pa.array([old if not s else len(t) for t, s, old in zip(texts, spans, cols[j].to_pylist(), strict=True)], cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return without_repeats(df).select(*at, "spans").mapInArrow(run, T.StructType(fields))
+    cleaned = without_repeats(packed).select(*packed.columns, "spans").mapInArrow(run, T.StructType(packed.schema.fields))
+    return unpack_extra(cleaned, df.columns)
 
 
 def op5_front_coded_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
