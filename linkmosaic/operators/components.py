@@ -26,11 +26,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _small_star(down: DataFrame) -> DataFrame:
+    """down: distinct edges from larger to smaller ends, as large-star leaves them."""
     least = _min_neighbour(down)
     hung = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _in_one_task(g: pd.DataFrame) -> pd.DataFrame:
