@@ -191,16 +191,16 @@ def pair_and_cell_keys(spark, sf_dir):
 # ---------------------------------------------------------------- cell sets
 
 
-@query(sql("select distinct (t.r + dr - 1) * 50 + t.c + dc as cell from labels8 t cross join (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) o(dr, dc), (select max(r) as h from cells) where t.r + dr between 1 and h and t.c + dc between 1 and 50 and t.patch_id <= 5", "labels8"))
+@query(sql("select distinct (t.r + dr - 1) * 50 + t.c + dc as cell from labels8 t cross join (values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) o(dr, dc), (select max(r) as h from cells) where t.r + dr between 1 and h and t.c + dc between 1 and 50", "labels8"))
 def inflate_cells(spark, sf_dir):
     found, meta = labelled(spark, sf_dir)
-    return cellsets.disc(found.filter("patch_id <= 5").select("cell", "r", "c"), meta, 2).select("cell")
+    return cellsets.disc(found.select("cell", "r", "c"), meta, 2).select("cell")
 
 
-@query(sql("select distinct o.cell from labels8 t join cells o on abs(o.r - t.r) <= 2 and abs(o.c - t.c) <= 2 where t.patch_id <= 5", "labels8"))
+@query(sql("select distinct o.cell from labels8 t join cells o on abs(o.r - t.r) <= 2 and abs(o.c - t.c) <= 2", "labels8"))
 def expand_cells(spark, sf_dir):
     found, meta = labelled(spark, sf_dir)
-    return cellsets.expand(found.filter("patch_id <= 5").select("cell", "r", "c"), meta, 2).select("cell")
+    return cellsets.expand(found.select("cell", "r", "c"), meta, 2).select("cell")
 
 
 @query(sql("select a.r as r, round(count(b.c) / count(*), 6) as share from (select r, c from cells where value <= 30) a left join (select r, c from cells where value between 20 and 50) b on a.r = b.r and a.c = b.c group by a.r", "cells"))
@@ -450,21 +450,20 @@ def hybrid_leftover(spark, sf_dir):
 
 OPEN = "open as (select cell, r, c, false as bridge from cells where value > 15 and value < 46 union all select cell, r, c, true from labels8 where patch_id not in (select patch_id from big))"
 STEPS = "steps as (select a.cell as u, b.cell as v, case when b.bridge then 0 else 1 end as w from open a join open b on abs(a.r - b.r) + abs(a.c - b.c) = 1)"
-BEGIN = "begin_at as (select o.cell as src from open o join labels8 l on abs(o.r - l.r) + abs(o.c - l.c) = 1 where l.patch_id = (select min(patch_id) from big))"
+BEGIN = "begin_at as (select o.cell as src from open o join labels8 l on abs(o.r - l.r) + abs(o.c - l.c) = 1 where l.patch_id in (select patch_id from big))"
 WAYS = "ways as (select distinct src, src as id, 0 as d from begin_at union select w.src, s.v, w.d + s.w from ways w join steps s on s.u = w.id where w.d + s.w <= 5)"
 
 
 @query(cte("labels8", "big") + f",\n{OPEN},\n{STEPS},\n{BEGIN},\n{WAYS}\nselect id as cell, min(d)::double as cost from ways group by id")
 def route_cost(spark, sf_dir):
-    """Least cost of open cells from beside the first patch of 3 cells or more; stray habitat is free."""
+    """Least cost of open cells from beside the patches of 3 cells or more; stray habitat is free."""
     cells, meta = fixtures.raster(spark, sf_dir)
     found, _ = labelled(spark, sf_dir)
     big = labels.min_size(found, 3)
     stray = found.join(big.select("cell"), "cell", "left_anti").select("cell", "r", "c", F.lit(True).alias("bridge"))
     free = cells.filter("value > 15 and value < 46").select("cell", "r", "c", F.lit(False).alias("bridge")).unionByName(stray)
     edges = routing.routing_graph(free, meta, 4)
-    first = big.join(F.broadcast(big.agg(F.min("patch_id").alias("patch_id"))), "patch_id")
-    ring = masks.shifted(first.select("r", "c"), pairs.moves(4), meta).select(F.col("target").alias("cell")).distinct()
+    ring = masks.shifted(big.select("r", "c"), pairs.moves(4), meta).select(F.col("target").alias("cell")).distinct()
     start = free.join(ring, "cell").select(F.col("cell").alias("src"), F.col("cell").alias("id"), F.lit(0.0).alias("dist"))
     return graph.relax(start, edges, "cost", 5.0).groupBy(F.col("id").alias("cell")).agg(F.min("dist").alias("cost"))
 
@@ -506,7 +505,7 @@ def merge_touching(spark, sf_dir):
 
 
 def vector_run(spark, sf_dir):
-    shapes = fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir)).filter("id < 60")
+    shapes = fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir))
     return vector.find_corridors(shapes, 2.0, crs=32618, min_patch_size=0.1, min_corridor_width=20, max_search_distance=200)
 
 
