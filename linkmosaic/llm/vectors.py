@@ -275,7 +275,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, sample_rows: i
     members = members.select(*keep, "guests", "t.*")
     k_cells = len(cells)
 
-    def compare(key, g: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         cell, i, kind, j = (int(x) for x in key)
         left = g[g["role"] == 0]
         right = left if kind == 0 and i == j else g[g["role"] == 1]
