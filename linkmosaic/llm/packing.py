@@ -20,7 +20,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
 END = 0  # id after every document
 PER_SHARD = 20_000  # pieces that one task packs, about
-NODES = 4_000  # branch-and-bound nodes a shard beyond one a bin
+NODES = 2_000  # branch-and-bound nodes a shard
 SPECIAL = "<|endoftext|>"  # fixed: the vocabulary's special token
 
 _encoders: dict = {}
@@ -83,19 +83,22 @@ def token_pieces(df: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY
 
 
 def lower_bound(sizes: Counter, capacity: int) -> int:
-    """Bins that any packing needs: by volume, and by what can't share a bin with the large pieces."""
-    total = sum(k * v for k, v in sizes.items())
-    best = -(-total // capacity)
-    for edge in {capacity - s + 1 for s in sizes if s > capacity // 2} | {1}:
-        # with k small, pieces over capacity - k stand alone against those of k and more
-        k = capacity - edge + 1
-        k = min(k, capacity // 2)
-        alone = sum(v for s, v in sizes.items() if s > capacity - k)
-        half = [(s, v) for s, v in sizes.items() if capacity // 2 < s <= capacity - k]
-        n_half, room = sum(v for _, v in half), sum(v * (capacity - s) for s, v in half)
-        small = sum(s * v for s, v in sizes.items() if k <= s <= capacity // 2)
-        best = max(best, alone + n_half + max(0, -(-(small - room) // capacity)))
-    return best
+    """Bins that any packing needs: by volume, and by what can't share a bin with the large pieces.
+
+    For every k up to half the capacity: pieces over capacity - k share no bin with those of k and more,
+    those over half of it none with each other, and what is left beside them must take the rest.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for s, n in sizes.items():
+        count[s] = n
+    size = np.arange(capacity + 1)
+    up_to, volume = np.cumsum(count), np.cumsum(count * size)
+    half, k = capacity // 2, np.arange(1, capacity // 2 + 1)
+    n_large, n_half = up_to[-1] - up_to[capacity - k], up_to[capacity - k] - up_to[half]
+    room = capacity * n_half - (volume[capacity - k] - volume[half])
+    small = volume[half] - volume[k - 1]
+    extra = np.maximum(0, -((room - small) // capacity))
+    return int(max(-(-volume[-1] // capacity), (n_large + n_half + extra).max(initial=0)))
 
 
 def best_fit(sizes: Counter, capacity: int) -> list[Counter]:
@@ -120,92 +123,119 @@ def best_fit(sizes: Counter, capacity: int) -> list[Counter]:
     return bins
 
 
-def fillings(sizes: list[int], left: Counter, room: int, most: int = 40) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, pieces) of undominated ways to fill room, least waste first; sizes falls.
+def fillings(left: Counter, mask: int, room: int, most: int = 40, steps: int = 400) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, pieces) of undominated ways to fill room, least waste first; bit s of mask is set if left has size s.
 
     A filling is dominated if a piece left out still fits, if one of its pieces, or two of them together,
     can be exchanged for one larger piece left out that fits.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = [0]
 
     def undominated(pick: tuple[int, ...], waste: int) -> bool:
-        used = Counter(pick)
-        free = [s for s in sizes if left[s] > used[s]]
-        if free and free[-1] <= waste:
+        free = mask
+        for s, n in Counter(pick).items():
+            if left[s] <= n:
+                free &= ~(1 << s)
+        if free & ((2 << waste) - 1):
             return False
-        parts = set(pick) | {a + b for i, a in enumerate(pick) for b in pick[i + 1 :]}
-        singles = set(pick)
-        return not any((p < s or (p == s and p not in singles)) and s <= p + waste for p in parts for s in free)
+        if any((free >> (p + 1)) & ((1 << waste) - 1) for p in set(pick)):
+            return False
+        return not any((free >> (a + b)) & ((2 << waste) - 1) for i, a in enumerate(pick) for b in pick[i + 1 :])
 
-    def grow(i: int, room: int, pick: tuple[int, ...]) -> None:
-        steps[0] += 1
-        if steps[0] > 400 or len(found) >= most:
+    def grow(largest: int, room: int, pick: tuple[int, ...]) -> None:
+        nonlocal steps
+        steps -= 1
+        if steps < 0 or len(found) >= most:
             return
-        while i < len(sizes) and sizes[i] > room:
-            i += 1
-        if i >= len(sizes):
+        s = (mask & ((2 << min(largest, room)) - 1)).bit_length() - 1
+        if s <= 0:
             if undominated(pick, room):
                 found.append((room, pick))
             return
-        s = sizes[i]
         for n in range(min(left[s], room // s), -1, -1):
-            grow(i + 1, room - n * s, pick + (s,) * n)
+            grow(s - 1, room - n * s, pick + (s,) * n)
 
-    grow(0, room, ())
+    grow(room, room, ())
     return sorted(set(found))
 
 
-def complete_bins(sizes: Counter, capacity: int = CAPACITY, nodes: int = NODES) -> list[Counter]:
-    """Bins for a multiset of sizes: best-fit decreasing as the incumbent, then bin completion.
-
-    Each node takes the largest piece left and branches over the undominated fillings around it, least
-    waste first.  A branch ends when its waste exceeds what one bin less than the incumbent leaves, and
-    the search when the lower bound is met or the nodes are used up; then the incumbent stands.  Every
-    piece is in a bin in either case.
-    """
-    best = best_fit(sizes, capacity)
+def _search(sizes: Counter, best: list[Counter], capacity: int, nodes: int) -> tuple[list[Counter], int]:
+    """Branch and bound over bins, with an incumbent and a number of nodes -> (better bins or the incumbent, nodes left)."""
     bound = lower_bound(sizes, capacity)
-    if len(best) <= bound:
-        return best
     total = sum(k * v for k, v in sizes.items())
     left, done, waste = Counter(sizes), [], 0
-    budget = nodes + len(best)
-    open_ways: list[list[tuple[int, tuple[int, ...]]]] = []
-    distinct = sorted(sizes, reverse=True)
+    mask = sum(1 << s for s in sizes if sizes[s] > 0)
+
+    def put(pick: tuple[int, ...], sign: int) -> None:
+        nonlocal mask
+        for s in pick:
+            left[s] += sign
+            mask = mask | (1 << s) if left[s] > 0 else mask & ~(1 << s)
 
     def ways() -> list[tuple[int, tuple[int, ...]]]:
-        now = [s for s in distinct if left[s]]
-        top = now[0]
-        left[top] -= 1
-        got = fillings([s for s in now if left[s]], left, capacity - top)
-        left[top] += 1
+        top = mask.bit_length() - 1
+        put((top,), -1)
+        got = fillings(left, mask, capacity - top)
+        put((top,), 1)
         return [(w, (top, *p)) for w, p in got][::-1]
 
-    open_ways.append(ways())
-    while open_ways and budget > 0:
+    open_ways = [ways()]
+    while open_ways and nodes > 0 and len(best) > bound:
         if not open_ways[-1]:
             open_ways.pop()
             if done:
                 w, pick = done.pop()
                 waste -= w
-                left.update(pick)
+                put(pick, 1)
             continue
-        budget -= 1
+        nodes -= 1
         w, pick = open_ways[-1].pop()
         if waste + w > (len(best) - 1) * capacity - total:
             open_ways[-1].clear()  # the others waste as much or more
             continue
         waste += w
-        left.subtract(pick)
+        put(pick, -1)
         done.append((w, pick))
-        if not any(left[s] for s in distinct):
+        if mask:
+            open_ways.append(ways())
+        else:
             best = [Counter(p) for _, p in done]
-            if len(best) <= bound:
-                break
             open_ways.append([])
-        else:
-            open_ways.append(ways())
+    return best, nodes
+
+
+def complete_bins(sizes: Counter, capacity: int = CAPACITY, nodes: int = NODES) -> list[Counter]:
+    """Bins for a multiset of sizes: best-fit decreasing as the incumbent, then bin completion.
+
+    A node takes the largest piece left and branches over the undominated fillings around it, least waste
+    first.  A branch ends when its waste exceeds what one bin less than the incumbent leaves, and the
+    search when the lower bound is met or the nodes are used up; then the incumbent stands.  Bins that are
+    full already cannot be bettered, so the search is over the pieces of the bins that waste most: enough
+    of them that a bin could be saved, then more, all of them where they are few.  Where the waste is spread
+    so thin that this takes more bins than a quarter of the nodes, the incumbent stands, within the sum of
+    that waste of the bound.  Every piece is in a bin in any case.
+    """
+    best = best_fit(sizes, capacity)
+    bound = lower_bound(sizes, capacity)
+    room = lambda b: capacity - sum(k * v for k, v in b.items())
+    while len(best) > bound and nodes > 0:
+        best.sort(key=room, reverse=True)
+        gained, tried = False, 0
+        for goal in (1.25, 2, 4, 8):
+            n, wasted = 0, 0
+            while n < len(best) and (wasted < goal * capacity or (goal == 8 and n < 64)):
+                wasted += room(best[n])
+                n += 1
+            if wasted < capacity or n == tried or 4 * n > nodes:  # nothing to save, or too few nodes to reach the last bin
+                continue
+            tried = n
+            part = sum(best[:n], Counter())
+            found, nodes = _search(part, best[:n], capacity, nodes)
+            if len(found) < n:
+                best, gained = found + best[n:], True
+                break
+        if not gained:
+            break
     return best
 
 
