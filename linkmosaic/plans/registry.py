@@ -337,6 +337,19 @@ def connected_sizes(spark, sf_dir):
     return graph.connected_sizes(chosen, nodes.select(F.col("id").alias("patch_id"), F.col("weight").alias("cell_count"))).select("id", "cost", "connected_size")
 
 
+@query(sql("select root as component, sum(weight) as size, count(*) as count from parts join nodes using (id) group by root", "parts"))
+def component_sizes(spark, sf_dir):
+    return graph.component_sizes(*fixtures.nation_graph(spark, sf_dir, keep=30))
+
+
+@query(sql("select f.id, dense_rank() over (order by p.root) as component_id, w.s as connected_area, round(w.s / greatest(f.cost, 1e-6), 6) as efficiency, false as multipart from few f join parts p on p.id = f.u join (select root, sum(weight) as s from parts join nodes using (id) group by root) w on w.root = p.root", "parts"))
+def vector_components(spark, sf_dir):
+    nodes, edges = fixtures.nation_graph(spark, sf_dir, keep=30)
+    chosen = edges.select("id", F.array("u", "v").alias("patch_ids"), F.col("cost").cast("double").alias("area"))
+    out = graph.vector_components(chosen, nodes.select(F.col("id").alias("patch_id"), F.col("weight").alias("area")))
+    return rounded(out, "efficiency").select("id", "component_id", "connected_area", "efficiency", "multipart")
+
+
 @query("with t as (select c_custkey as id, case when c_custkey % 11 = 0 then null else (c_custkey % 97)::double end as p, (c_custkey % 13)::double as l from customer) select id, case when l <= 0 then 0.1 when p is null then 0.5 when p / l >= 3 then 0.9 when p / l >= 1.5 then 0.5 else 0.1 end::double as worth from t")
 def shortcut_ladder(spark, sf_dir):
     k = F.col("c_custkey")
@@ -468,6 +481,20 @@ def route_cost(spark, sf_dir):
     return graph.relax(start, edges, "cost", 5.0).groupBy(F.col("id").alias("cell")).agg(F.min("dist").alias("cost"))
 
 
+@query(sql("select cell, r, c from cells where value > 15 and value < 46 and greatest(abs(r - 2), abs(c - 25)) <= 6 order by greatest(abs(r - 2), abs(c - 25)), (r - 2)^2 + (c - 25)^2, c, r limit 1", "cells"))
+def nearest_passable(spark, sf_dir):
+    cells, _ = fixtures.raster(spark, sf_dir)
+    return pairs.nearest_passable(cells.withColumn("passable", (F.col("value") > 15) & (F.col("value") < 46)), 2, 25)
+
+
+@query()
+def lines_to_cells(spark, sf_dir):
+    """Cells of the straight lines between the ends of the nation graph, laid on a raster 50 wide."""
+    _, meta = fixtures.raster(spark, sf_dir)
+    _, edges = fixtures.nation_graph(spark, sf_dir)
+    return cellsets.lines_to_cells(edges.select("id", (F.col("u") % 5 + 1).alias("r1"), (F.col("u") + 1).alias("c1"), (F.col("v") % 5 + 1).alias("r2"), (F.col("v") + 1).alias("c2")), meta)
+
+
 @query()
 def raster_candidates(spark, sf_dir):
     res = raster_run(spark, sf_dir)
