@@ -546,7 +546,7 @@ def vector_pipeline(spark, sf_dir):
     return vector_run(spark, sf_dir).tables["corridors"].select("id", "patch1", "patch2", "patch_ids", "corridor_area_m2", "corridor_length_m", "component_id", "connected_area_m2", "efficiency")
 
 
-@query("select c_custkey as id, round(x, 4) as lon, round(y, 4) as lat from (select c_custkey, (c_custkey * 7) % 360 - 179.5 as x, (c_custkey * 11) % 160 - 79.5 as y from customer)")
+@query("select c_custkey as id, round(x::double, 4) as lon, round(y::double, 4) as lat from (select c_custkey, (c_custkey * 7) % 360 - 179.5 as x, (c_custkey * 11) % 160 - 79.5 as y from customer)")
 def utm_round_trip(spark, sf_dir):
     """Degrees to the zone's metres and back."""
     k = F.col("c_custkey")
