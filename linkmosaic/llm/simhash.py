@@ -98,10 +98,11 @@ def ball_links(classes: DataFrame) -> DataFrame:
         ),
     )
     # few bytes become many rows: they are dealt out before, or a task or two would make them all
-    masked = classes.repartition("fp").select("rep", "fp", F.inline(halves))
+    wide = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masked = classes.repartition(wide, "fp").select("rep", "fp", F.inline(halves))
     met = masked.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("key")
     near = masked.join(met.hint("merge"), "key").groupBy("rep", "fp").agg(F.max(F.when(F.col("half") == 0, 1).otherwise(0)).alias("low"), F.max(F.when(F.col("half") == 1, 1).otherwise(0)).alias("high"))
-    near = materialize(near, "simhash").repartition("fp")
+    near = materialize(near, "simhash").repartition(wide, "fp")
     lits = lambda ms: F.array(*[F.lit(m).cast("long") for m in ms])
     one = near.select("rep", "fp", F.explode(F.transform(lits(_masks_one()), lambda m: _flip(F.col("fp"), m))).alias("variant"), F.lit(True).alias("inner"))
     even = near.filter(F.bit_count("fp") % 2 == 0)
