@@ -295,8 +295,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "th", "place", "most", "least", "key"])
 
     listed = materialize(docs.mapInPandas(sample, "doc_id long, th long, place long, most int, least int, key long"), "suffix")
-    twice = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    held = materialize(listed.join(twice, "key", "left_semi"), "suffix")
+    # a table of its own, so that the join reads two plain shuffles, of which AQE can split the hot parts
+    twice = materialize(listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "suffix")
+    held = materialize(listed.join(twice.hint("merge"), "key", "left_semi"), "suffix")
     n = held.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (SPAN + WINDOW) // PART_BYTES))
     mine = held.groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "most", "least", "key")).alias("anchors"), F.count("*").alias("n"))
@@ -333,7 +334,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "th", "lo", "hi"])
 
     runs = joined.select("doc_id", "th", "text", "anchors").mapInPandas(send, "part int, run binary")
-    spans = runs.groupBy("part").applyInPandas(merge, "doc_id long, th long, lo long, hi long")
+    spans = runs.repartition(parts, "part").groupBy("part").applyInPandas(merge, "doc_id long, th long, lo long, hi long")
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
