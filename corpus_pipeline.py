@@ -9,7 +9,7 @@ from linkmosaic.llm.common import SPACED_WORD, pack_extra, table, text_of, unpac
 from linkmosaic.llm.mixing import pivotal_copies
 from linkmosaic.llm.packing import pack_documents
 from linkmosaic.llm.quality import score_documents, train
-from linkmosaic.llm.simhash import simhash_groups
+from linkmosaic.llm.shingles import near_copy_groups
 from linkmosaic.llm.suffixes import strip_repeats
 from linkmosaic.sources.shared import materialize
 
@@ -22,14 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the smallest doc_id stays.
+    """Of each group that pairs of five-word Jaccard >= 0.8 connect the document with the smallest doc_id stays.
 
     Rows equal in id and text are one document; rows without an id have no name to be kept by and all stay.
     """
     columns = docs.columns
     docs = pack_extra(docs)
     named = docs.filter(F.col("doc_id").isNotNull())
-    groups = materialize(simhash_groups(named), "groups")
+    groups = materialize(near_copy_groups(named), "groups")
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     out = named.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
     if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
@@ -74,7 +74,7 @@ STAGES = [
     ("mixing", mixing),
     ("packing", packing),
 ]
-#: No SQL: the stages learn, hash by bits and search; tests hold them against brute force on small inputs.
+#: No SQL: the stages learn, compare shingles and search; tests hold them against brute force on small inputs.
 ORACLE_SQL = None
 
 
