@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from linkmosaic.sources.shared import discard, materialize
 
 
+#: Edges up to which one task, or a copy for every task, beats rounds of joins.
+SMALL = 200_000
+
+
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 

@@ -8,13 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkmosaic.operators.components import connected_components
+from linkmosaic.operators.components import SMALL, connected_components
 from linkmosaic.sources.shared import discard, materialize
 
 
-SMALL = 200_000  # edges up to which one task, or a copy for every task, beats rounds of joins
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(u, v) -> (id, component), isolated nodes included."""
     found = connected_components(edges.select("u", "v"), small=SMALL)

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkmosaic.operators.components import connected_components, merge_pairs
+from linkmosaic.operators.components import SMALL, connected_components, merge_pairs
 from linkmosaic.sources.schema import RasterMeta
+from linkmosaic.sources.shared import materialize
 
 TILE = 512
 
@@ -53,14 +54,15 @@ def label_patches(cells: DataFrame, meta: RasterMeta, connectivity: int = 8, til
         label = merge_pairs(len(g), np.concatenate(a), np.concatenate(b))
         return pd.DataFrame({"cell": g["cell"], "r": g["r"], "c": g["c"], "part": g["cell"].to_numpy()[label]})
 
-    parts = held.groupBy("_tr", "_tc").applyInPandas(within, "cell long, r long, c long, part long")
+    # borders, numbers and the result all read the tiles' labels: they are made once
+    parts = materialize(held.groupBy("_tr", "_tc").applyInPandas(within, "cell long, r long, c long, part long"), "tiles")
     if meta.nrow > tile or meta.ncol > tile:
         rim = lambda x: ((F.col(x) - 1) % tile).isin(0, tile - 1)
         edge = parts.filter(rim("r") | rim("c"))
         shift = F.array(*[F.struct(F.lit(a).cast("long").alias("dr"), F.lit(b).cast("long").alias("dc")) for a, b in steps])
         moved = edge.withColumn("_o", F.explode(shift)).select((F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c"), F.col("part").alias("u"))
         pairs = moved.join(edge.select("r", "c", F.col("part").alias("v")), ["r", "c"]).filter("u <> v").select("u", "v")
-        roots = connected_components(pairs)
+        roots = connected_components(pairs, small=SMALL)
         parts = parts.join(roots.withColumnRenamed("id", "part"), "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
     ids = dense_numbers(parts.select("part").distinct(), "part", "patch_id")
     return parts.join(ids, "part").select("cell", "r", "c", "patch_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,20 +104,12 @@ def pair_seeds(pairs: DataFrame, width: float, most_seeds: int = 8, nearest: int
     order = Window.partitionBy("p1", "p2").orderBy("d2", "r1", "c1", "r2", "c2")
     close = pairs.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= nearest)
     apart = max(4, math.ceil(1.5 * width))
-
-    def diverse(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        places = g.sort_values("_k")[["r1", "c1", "r2", "c2"]].to_numpy()
-        for i, (a, b, x, y) in enumerate(places):
-            clear = all(max(abs(a - places[k][0]), abs(b - places[k][1])) > apart and max(abs(x - places[k][2]), abs(y - places[k][3])) > apart for k in kept)
-            if clear:
-                kept.append(i)
-                if len(kept) == most_seeds:
-                    break
-        out = g.sort_values("_k").iloc[kept].drop(columns="_k")
-        return out.assign(seed=range(1, len(out) + 1))
-
-    return close.groupBy("p1", "p2").applyInPandas(diverse, "p1 long, p2 long, r1 long, c1 long, r2 long, c2 long, d2 long, seed int")
+    ranked = close.groupBy("p1", "p2").agg(F.array_sort(F.collect_list(F.struct("d2", "r1", "c1", "r2", "c2"))).alias("s"))
+    gap = lambda x, k, r, c: F.greatest(F.abs(x[r] - k[r]), F.abs(x[c] - k[c]))
+    crowds = lambda x: lambda k: (gap(x, k, "r1", "c1") <= apart) | (gap(x, k, "r2", "c2") <= apart)
+    take = lambda kept, x: F.when((F.size(kept) < most_seeds) & ~F.exists(kept, crowds(x)), F.concat(kept, F.array(x))).otherwise(kept)
+    diverse = ranked.select("p1", "p2", F.posexplode(F.aggregate("s", F.slice("s", 1, 0), take)).alias("_i", "x"))
+    return diverse.select("p1", "p2", *[f"x.{k}" for k in ("r1", "c1", "r2", "c2", "d2")], (F.col("_i") + 1).alias("seed"))
 
 
 def start_positions(cells: DataFrame, meta: RasterMeta, connectivity: int = 4) -> DataFrame:
