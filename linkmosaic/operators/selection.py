@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from linkmosaic.errors import InputError
 from linkmosaic.operators.components import connected_components
 from linkmosaic.operators.graph import SMALL, component_sizes, components
-from linkmosaic.operators.masks import disc_offsets
+from linkmosaic.operators.masks import disc_offsets, shifted
+from linkmosaic.sources.schema import RasterMeta
 from linkmosaic.sources.shared import discard, materialize
 
 
@@ -268,7 +269,8 @@ def circuit_utility(
             if far_enough and picks and not far_enough(c, picks):
                 continue
             shared = max((overlap(c, p) for p in per_pair[pair_of(c)][-recent:]), default=0.0) if overlap else 0.0
-            worth = overlap_worth if shared > most_overlap else links.worth(c["patch_ids"][0], c["patch_ids"][1], c.get("length") or math.nan)
+            length = c.get("length")
+            worth = overlap_worth if shared > most_overlap else links.worth(c["patch_ids"][0], c["patch_ids"][-1], length if fine(length) else c["cost"])
             kind = "wasteful" if worth <= 0.1 else "redundant"
         now = c["roi"] * worth
         if abs(now + score) > 1e-12:
@@ -281,42 +283,121 @@ def circuit_utility(
 
 
 def spend_leftover(candidates: list[dict], selected: list[dict], weights: dict, budget: float, bias: float = 0.15) -> tuple[list[dict], dict]:
-    """Adds links to a selection: the one that brings the main component most weight for its cost, or a loop in it if that is worth `bias` more."""
+    """Adds links to a selection: the one that brings the main component most weight for its cost, or a loop in it if that is worth `bias` more.
+
+    The main component is the heaviest and only grows, so the weight that a link brings is fixed as soon as
+    it leads out of it, and the worth of a loop only falls: two lazy heaps hold them, ties to the earlier.
+    """
     sets, links, have = Groups(weights), Links(), {c["id"] for c in selected}
     length = lambda c: c["length"] if c.get("length") and c["length"] > 0 else c["cost"]
     for c in selected:
         sets.union(*c["patch_ids"][:2])
         links.put(c["patch_ids"][:2], length(c))
-    added, loops, spent = [], 0, 0.0
-    while budget > 0:
-        seen = list(dict.fromkeys(sets.find(p) for p in weights))
-        main = max(seen, key=lambda r: sets.size[r], default=None)
-        best = {"grow": (0.0, None), "loop": (0.0, None)}
-        for c in candidates:
-            if c["id"] in have or not 0 < c["cost"] <= budget:
+    main = max(dict.fromkeys(sets.find(p) for p in weights), key=lambda r: sets.size[r], default=None)
+    if main is None:
+        return [], {"budget_used": 0.0, "low_value_added": 0, "redundancy_added": 0}
+    members, at = defaultdict(list), defaultdict(list)
+    for p in weights:
+        members[sets.find(p)].append(p)
+    for k, c in enumerate(candidates):
+        if c["id"] not in have and 0 < c["cost"] <= budget:
+            for p in c["patch_ids"][:2]:
+                at[p].append(k)
+    grow: list[tuple[float, int]] = []
+    loop: list[tuple[float, int]] = []
+    worth = lambda c: links.worth(*c["patch_ids"][:2], length(c)) / c["cost"]
+
+    def reach(patches: list) -> None:
+        """Links at patches that have just become part of the main component."""
+        for p in patches:
+            for k in at[p]:
+                c = candidates[k]
+                a, b = (sets.find(x) for x in c["patch_ids"][:2])
+                if a == b:
+                    heapq.heappush(loop, (-worth(c), k))
+                elif sets.size[b if a == main else a] > 0:
+                    heapq.heappush(grow, (-sets.size[b if a == main else a] / c["cost"], k))
+
+    def best(heap: list[tuple[float, int]], loops: bool) -> tuple[float, int | None]:
+        while heap:
+            score, k = heap[0]
+            c = candidates[k]
+            if c["id"] in have or c["cost"] > budget or (not loops and sets.find(c["patch_ids"][0]) == sets.find(c["patch_ids"][1])):
+                heapq.heappop(heap)
                 continue
-            a, b = (sets.find(p) for p in c["patch_ids"][:2])
-            if a == b:
-                kind, worth = "loop", links.worth(*c["patch_ids"][:2], length(c)) if a == main else 0.0
-            else:
-                kind, worth = "grow", sets.size[b if a == main else a] if main in (a, b) else 0.0
-            if worth / c["cost"] > best[kind][0]:
-                best[kind] = (worth / c["cost"], c)
-        grow, loop = best["grow"], best["loop"]
-        pick = loop[1] if loop[1] and (not grow[1] or loop[0] > grow[0] * (1 + bias)) else grow[1]
-        if pick is None:
+            now = -worth(c) if loops else score
+            if now == score:
+                return -score, k
+            heapq.heapreplace(heap, (now, k))
+        return 0.0, None
+
+    reach(members[main])
+    added, n_loops, spent = [], 0, 0.0
+    while budget > 0:
+        (gain, g), (again, r) = best(grow, False), best(loop, True)
+        k = r if r is not None and (g is None or again > gain * (1 + bias)) else g
+        if k is None:
             break
-        loops += pick is loop[1]
-        sets.union(*pick["patch_ids"][:2])
-        links.put(pick["patch_ids"][:2], length(pick))
+        n_loops += k is r
+        pick = candidates[k]
+        roots = [sets.find(p) for p in pick["patch_ids"][:2]]
         have.add(pick["id"])
+        links.put(pick["patch_ids"][:2], length(pick))
+        if sets.union(*pick["patch_ids"][:2]):
+            new = members.pop(roots[1] if roots[0] == main else roots[0])
+            main = sets.find(pick["patch_ids"][0])
+            reach(new)
         added.append(pick)
         budget -= pick["cost"]
         spent += pick["cost"]
-    return added, {"budget_used": spent, "low_value_added": len(added) - loops, "redundancy_added": loops}
+    return added, {"budget_used": spent, "low_value_added": len(added) - n_loops, "redundancy_added": n_loops}
+
+
+def thicken(selected: DataFrame, cells: DataFrame, budget: float, width: float, main: int | None, meta: RasterMeta, most: int = 3) -> tuple[DataFrame, float]:
+    """Widens corridors to 2 and 3 times the width while new cells fit the budget; those at the patch `main` first.
 
+    selected(id, patch1, patch2, ord, path_cells, buffered_cells, cost, ...), cells(cell, patch_id, obstacle):
+    patches and obstacles stay free.  -> the same with thicken_factor, and what the new cells cost.  The
+    first step that does not fit ends it for all: the steps taken are those up to which the running sum of
+    new cells, in order, fits.  Every corridor gets the blocked cells of its own reach only.
+    """
+    if budget <= 0:
+        return selected.withColumn("thicken_factor", F.lit(1)), 0.0
+    reach = disc_offsets(max(1, round(width * most)))
+    path = selected.select("id", F.explode("path_cells").alias("cell"))
+    path = path.select("id", (F.floor((F.col("cell") - 1) / meta.ncol) + 1).cast("long").alias("r"), ((F.col("cell") - 1) % meta.ncol + 1).cast("long").alias("c"))
+    around = shifted(path, reach, meta).select("id", F.col("target").alias("cell")).distinct()
+    blocked = cells.filter("patch_id > 0 or obstacle").select("cell")
+    shut = around.join(blocked, "cell").groupBy("id").agg(F.collect_list("cell").alias("shut"))
+    nrow, ncol = meta.nrow, meta.ncol
 
-def _widened(path: Iterable[int], nrow: int, ncol: int, width: float, blocked: set) -> set:
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, cells_of, held, cut in b[["id", "path_cells", "buffered_cells", "shut"]].itertuples(index=False):
+                now, out = set(held.tolist()), []
+                for factor in range(2, most + 1) if len(cells_of) else ():
+                    wider = widened(cells_of.tolist(), nrow, ncol, max(1, round(width * factor)), set() if cut is None else set(cut.tolist()))
+                    out.append((i, factor, len(wider - now), sorted(wider)))
+                    now = wider
+                rows += out
+            yield pd.DataFrame(rows, columns=["id", "factor", "extra", "wider"])
+
+    steps = materialize(selected.select("id", "path_cells", "buffered_cells").join(shut, "id", "left").mapInPandas(run, "id long, factor int, extra long, wider array<long>"), "thicken")
+    away = ~((F.col("patch1") == main) | (F.col("patch2") == main)) if main is not None else F.lit(True)
+    slim = steps.select("id", "factor", "extra").join(selected.select("id", "ord", away.alias("away")), "id")
+    paid = running_total(slim, ["away", "ord", "factor"], "extra", "spent")
+    before = F.col("spent") - F.sum("extra").over(Window.partitionBy("id").orderBy("factor").rowsBetween(Window.unboundedPreceding, 0))
+    taken = materialize(paid.withColumn("_before", before).filter((F.col("spent") <= budget) & (F.col("_before") < budget)).select("id", "factor", "extra"), "thicken")
+    spent = float(taken.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0])
+    last = steps.join(taken.groupBy("id").agg(F.max("factor").alias("factor")), ["id", "factor"]).select("id", F.col("factor").alias("_f"), "wider")
+    out = selected.join(last, "id", "left").withColumns(
+        {"thicken_factor": F.coalesce("_f", F.lit(1)), "buffered_cells": F.coalesce("wider", "buffered_cells"), "cost": F.coalesce(F.size("wider").cast("double"), "cost")}
+    )
+    return out.drop("_f", "wider"), spent
+
+
+def widened(path: Iterable[int], nrow: int, ncol: int, width: float, blocked: set) -> set:
     out = set()
     for cell in path:
         r, c = divmod(cell - 1, ncol)
@@ -326,34 +407,6 @@ def _widened(path: Iterable[int], nrow: int, ncol: int, width: float, blocked: s
     return out - blocked
 
 
-def thicken(selected: list[dict], budget: float, width: float, weights: dict, nrow: int, ncol: int, blocked: set, most: int = 3) -> tuple[list[dict], float]:
-    """Widens corridors to 2 and 3 times the width while new cells fit the budget; those at the largest patch first.
-
-    The first step that does not fit ends it for all.  `blocked` holds the cells of patches and obstacles.
-    """
-    if budget <= 0 or not selected:
-        return selected, 0.0
-    main = max(weights, key=weights.get, default=None)
-    order = sorted(range(len(selected)), key=lambda i: (main not in selected[i]["patch_ids"][:2], i))
-    out, spent = [dict(c, thicken_factor=c.get("thicken_factor") or 1) for c in selected], 0.0
-    for i in order:
-        c = out[i]
-        if not len(c["path_cells"]):
-            continue
-        now = set(c["buffered_cells"])
-        for factor in range(c["thicken_factor"] + 1, most + 1):
-            wider = _widened(c["path_cells"], nrow, ncol, max(1, round(width * factor)), blocked)
-            extra = len(wider - now)
-            if extra > budget - spent:
-                return out, spent
-            spent += extra
-            now = wider
-            c.update(thicken_factor=factor, buffered_cells=sorted(now), cost=float(len(now)))
-        if spent >= budget:
-            break
-    return out, spent
-
-
 def scenario_sweep(candidates: DataFrame, patches: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Greedy choice for many budgets at once: one task a scenario (scenario_id, budget).
 

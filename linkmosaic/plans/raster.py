@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import warnings as py_warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,29 +35,66 @@ def preflight(meta: RasterMeta, allow_large: bool = False) -> list[str]:
     return []
 
 
-def _choose(rows: list[dict], weights: dict, budget: float, width: float, meta: RasterMeta, blocked: set, grow: bool) -> tuple[list[dict], dict]:
-    """Greedy choice, the leftover budget, and widening, in one task."""
-    alike = lambda a, b: len(set(a["buffered_cells"]) & set(b["buffered_cells_expanded"])) / max(1, len(a["buffered_cells"]))
+SLIM = ("id", "patch1", "patch2", "cost", "length", "roi")
+
+
+def _choose(rows: list[dict], weights: dict, budget: float, shared: dict) -> tuple[list[tuple[int, str]], float]:
+    """(id, kind) of the greedy choice and of what the leftover budget buys, and what they cost, in one task."""
+    alike = lambda a, b: shared.get((a["id"], b["id"]), 0.0)
     picks, stats = selection.circuit_utility(rows, weights, budget, overlap=alike, far_enough=lambda c, chosen: False)
     added, more = selection.spend_leftover(rows, picks, weights, budget - stats["budget_used"])
+    picks = [(p["id"], p["kind"]) for p in picks]
     if added:
         order = {c["id"]: i for i, c in enumerate(rows)}
-        picks = sorted([*picks, *({**c, "kind": "leftover"} for c in added)], key=lambda c: order[c["id"]])
-    spent = stats["budget_used"] + more["budget_used"]
-    if grow:
-        picks, extra = selection.thicken(picks, budget - spent, width, weights, meta.nrow, meta.ncol, blocked)
-        spent += extra
-    return picks, stats | {"spent": spent}
+        picks = sorted([*picks, *((c["id"], "leftover") for c in added)], key=lambda p: order[p[0]])
+    return picks, stats["budget_used"] + more["budget_used"]
 
 
-def find_corridors(
+def greedy(candidates: DataFrame, weights: DataFrame, budget: float) -> DataFrame:
+    """(id, ord, kind, spent) of the candidates chosen.
+
+    The task that chooses gets a few numbers a candidate; how far two corridors of a pair of patches
+    overlap is found before, beside their cells.
+    """
+    a, b = (candidates.select("patch1", "patch2", F.col("id").alias(f"id_{k}"), F.col(cells).alias(f"cells_{k}")) for k, cells in (("a", "buffered_cells"), ("b", "buffered_cells_expanded")))
+    both = a.join(b, ["patch1", "patch2"]).filter("id_a <> id_b")
+    shares = both.select("id_a", "id_b", cellsets.overlap(F.col("cells_a"), F.col("cells_b")).alias("share")).filter("share > 0")
+    pack = candidates.agg(F.array_sort(F.collect_list(F.struct(*SLIM))).alias("c"))
+    sizes = weights.agg(F.array_sort(F.collect_list(F.struct("patch_id", "weight"))).alias("w"))
+    alike = shares.agg(F.collect_list(F.struct("id_a", "id_b", "share")).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            for c, w, s in batch[["c", "w", "s"]].itertuples(index=False):
+                rows = [{**{k: x[k] for k in SLIM}, "patch_ids": [x["patch1"], x["patch2"]]} for x in c]
+                picks, spent = _choose(rows, {x["patch_id"]: x["weight"] for x in w}, budget, {(x["id_a"], x["id_b"]): x["share"] for x in s})
+                yield pd.DataFrame([(i, n, kind, spent) for n, (i, kind) in enumerate(picks)], columns=["id", "ord", "kind", "spent"])
+
+    return pack.crossJoin(sizes).crossJoin(alike).mapInPandas(run, "id long, ord int, kind string, spent double")
+
+
+@dataclass
+class Found:
+    """What the search for candidates gives: tables, numbers in cells, counts and warnings."""
+
+    px: dict
+    notes: list[str]
+    marked: DataFrame
+    kept: DataFrame
+    cells: DataFrame
+    patches: DataFrame
+    candidates: DataFrame
+    raw: int
+    n: int
+
+
+def search_corridors(
     cells: DataFrame,
     meta: RasterMeta,
     patch_values: Sequence[float] = (),
     budget: float | None = None,
     patch_ranges: Sequence[Sequence[float]] = (),
     units: str = "pixels",
-    strategy: str = "circuit_utility",
     min_patch_size: float = 10,
     min_corridor_width: float = 1,
     max_search_distance: float = 50,
@@ -65,22 +103,15 @@ def find_corridors(
     allow_bottlenecks: bool = False,
     patch_connectivity: int = 8,
     max_pair_checks: int = 2_000_000,
-    max_candidates: int = 200_000,
     allow_large: bool = False,
-    budget_pixels: float | None = None,
     compat: bool = True,
-    thicken: bool = True,
-) -> Result:
-    """cells(cell, r, c, value) -> Result with tables cells, patches, candidates, corridors, corridor_raster, contiguous_raster, report.
+) -> Found:
+    """Patches of cells(cell, r, c, value) and the candidate corridors between them.
 
-    The choice is sequential by nature and runs in one task, on at most max_candidates candidates; all the
-    rest is distributed over cells, patches and pairs.
+    max_pair_checks bounds the pairs of patches that are looked at: those with boundary cells within the
+    search distance, which the bins find without a look at the others.
     """
-    began, notes = time.monotonic(), preflight(meta, allow_large)
-    if budget_pixels is not None:
-        if units != "pixels":
-            raise ScaleError("budget_pixels goes with pixels as units")
-        budget = budget_pixels
+    notes = preflight(meta, allow_large)
     if budget is None or budget <= 0:
         raise InputError("a budget above 0 is needed")
     if max_search_distance <= 0:
@@ -96,15 +127,51 @@ def find_corridors(
     kept = labels.min_size(found, max(1, round(px["min_patch"])))
     raw = found.select("patch_id").distinct().count()
     patches = materialize(labels.patch_summary(kept, meta), "patches")
-    n = patches.count()
-    possible = n * (n - 1) // 2
-    pairs.guard_count(possible, max_pair_checks, "possible pairs of patches")
     all_cells = marked.join(kept.select("cell", "patch_id"), "cell", "left").fillna(0, ["patch_id"])
     all_cells = all_cells.withColumn("passable", ~F.col("obstacle") & (F.col("patch_id") == 0))
     if not allow_bottlenecks and px["width"] > 1:
         all_cells = masks.clearance(all_cells, meta, px["width"])
     all_cells = materialize(all_cells, "cells")
-    candidates = materialize(routing.raster_candidates(all_cells, patches, meta, px["search"], px["width"], 4 if patch_connectivity != 8 else 8, compat), "candidates")
+    ways = routing.raster_candidates(all_cells, patches, meta, px["search"], px["width"], 4 if patch_connectivity != 8 else 8, compat, max_pair_checks)
+    return Found(px, notes, marked, kept, all_cells, patches, materialize(ways, "candidates"), raw, patches.count())
+
+
+def find_corridors(
+    cells: DataFrame,
+    meta: RasterMeta,
+    patch_values: Sequence[float] = (),
+    budget: float | None = None,
+    patch_ranges: Sequence[Sequence[float]] = (),
+    units: str = "pixels",
+    strategy: str = "circuit_utility",
+    min_patch_size: float = 10,
+    min_corridor_width: float = 1,
+    max_search_distance: float = 50,
+    obstacle_values: Sequence[float] = (),
+    obstacle_ranges: Sequence[Sequence[float]] = (),
+    allow_bottlenecks: bool = False,
+    patch_connectivity: int = 8,
+    max_pair_checks: int = 2_000_000,
+    max_candidates: int = 200_000,
+    allow_large: bool = False,
+    budget_pixels: float | None = None,
+    compat: bool = True,
+    thicken: bool = True,
+) -> Result:
+    """cells(cell, r, c, value) -> Result with tables cells, patches, candidates, corridors, corridor_raster, contiguous_raster, report.
+
+    The choice is sequential by nature and runs in one task, on at most max_candidates candidates; all the
+    rest is distributed over cells, patches and pairs.
+    """
+    began = time.monotonic()
+    if budget_pixels is not None:
+        if units != "pixels":
+            raise ScaleError("budget_pixels goes with pixels as units")
+        budget = budget_pixels
+    found = search_corridors(cells, meta, patch_values, budget, patch_ranges, units, min_patch_size, min_corridor_width, max_search_distance, obstacle_values, obstacle_ranges, allow_bottlenecks, patch_connectivity, max_pair_checks, allow_large, compat)
+    px, notes, marked, kept, all_cells, patches, candidates = found.px, found.notes, found.marked, found.kept, found.cells, found.patches, found.candidates
+    raw, n = found.raw, found.n
+    possible = n * (n - 1) // 2
     n_candidates = candidates.count()
     pairs.guard_count(n_candidates, max_candidates, "candidate corridors")
     weights = patches.select("patch_id", F.col("cell_count").cast("double").alias("weight"))
@@ -115,26 +182,15 @@ def find_corridors(
         selected = candidates.join(chosen["selected"].select("id"), "id", "left_semi").withColumn("thicken_factor", F.lit(1))
         spent = float(chosen["totals"].first()["total_cost"])
     elif strategy in ("circuit_utility", "most_connectivity"):
-        pack = candidates.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in candidates.columns if c != "id"]))).alias("c"))
-        sizes = weights.agg(F.collect_list(F.struct("patch_id", "weight")).alias("w"))
-        shut = all_cells.filter("patch_id > 0 or obstacle").agg(F.collect_list("cell").alias("b")) if thicken else sizes.select(F.array().cast("array<long>").alias("b"))
-        fields, limit, width = candidates.columns, px["budget"], px["width"]
-
-        def run(batches):
-            for b in batches:
-                for c, w, cut in b[["c", "w", "b"]].itertuples(index=False):
-                    rows = [{k: (x[k].tolist() if hasattr(x[k], "tolist") else x[k]) for k in fields} for x in c]
-                    for x in rows:
-                        x["patch_ids"] = [x["patch1"], x["patch2"]]
-                    picks, stats = _choose(rows, {x["patch_id"]: x["weight"] for x in w}, limit, width, meta, set(cut.tolist()), thicken)
-                    out = [[*(p[k] for k in fields), p.get("thicken_factor", 1), i, p["kind"], stats["spent"]] for i, p in enumerate(picks)]
-                    yield pd.DataFrame(out, columns=[*fields, "thicken_factor", "ord", "kind", "spent"])
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema) + ", thicken_factor int, ord int, kind string, spent double"
-        picked = materialize(pack.crossJoin(sizes).crossJoin(shut).mapInPandas(run, kinds), "picked")
+        picked = materialize(greedy(candidates, weights, px["budget"]), "picked")
         first = picked.select("spent").limit(1).collect()
         spent = first[0][0] if first else 0.0
-        selected = picked.drop("spent")
+        selected = materialize(candidates.join(picked.drop("spent"), "id").withColumn("thicken_factor", F.lit(1)).select(*candidates.columns, "thicken_factor", "ord", "kind"), "picked")
+        if thicken:
+            main = weights.agg(F.min_by("patch_id", F.struct(-F.col("weight"), "patch_id"))).first()[0]
+            columns = selected.columns
+            selected, extra = selection.thicken(selected.drop("thicken_factor"), all_cells, px["budget"] - spent, px["width"], main, meta)
+            selected, spent = selected.select(*columns), spent + extra
     else:
         raise InputError(f"unknown strategy {strategy!r}")
     selected = materialize(graph.connected_sizes(selected, patches), "selected")

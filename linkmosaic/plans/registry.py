@@ -495,20 +495,18 @@ def lines_to_cells(spark, sf_dir):
     return cellsets.lines_to_cells(edges.select("id", (F.col("u") % 5 + 1).alias("r1"), (F.col("u") + 1).alias("c1"), (F.col("v") % 5 + 1).alias("r2"), (F.col("v") + 1).alias("c2")), meta)
 
 
-@query()
-def raster_candidates(spark, sf_dir):
-    res = raster_run(spark, sf_dir)
-    return res.tables["candidates"].select("id", "patch1", "patch2", "cost", "length", "roi", "variant", "path_cells")
+RASTER_RUN = {"patch_ranges": [fixtures.HABITAT], "budget": 120, "min_patch_size": 5, "max_search_distance": 12, "obstacle_ranges": [fixtures.OBSTACLE]}
 
 
-def raster_run(spark, sf_dir):
-    cells, meta = fixtures.raster(spark, sf_dir)
-    return raster.find_corridors(cells, meta, patch_ranges=[fixtures.HABITAT], budget=120, min_patch_size=5, max_search_distance=12, obstacle_ranges=[fixtures.OBSTACLE])
+@query()
+def raster_candidates(spark, sf_dir):
+    found = raster.search_corridors(*fixtures.raster(spark, sf_dir), **RASTER_RUN)
+    return found.candidates.select("id", "patch1", "patch2", "cost", "length", "roi", "variant", "path_cells")
 
 
 @query()
 def raster_pipeline(spark, sf_dir):
-    return raster_run(spark, sf_dir).tables["corridors"].select("id", "patch1", "patch2", "cost", "length", "roi", "thicken_factor", "connected_size", "buffered_cells")
+    return raster.find_corridors(*fixtures.raster(spark, sf_dir), **RASTER_RUN).tables["corridors"].select("id", "patch1", "patch2", "cost", "length", "roi", "thicken_factor", "connected_size", "buffered_cells")
 
 
 @query(sql("select s_suppkey as id, w * h as area, 2 * (w + h) as perimeter, x + w / 2 as x, y + h / 2 as y from (select s_suppkey, (s_suppkey % 10) * 220.0::double as x, (s_suppkey // 10) * 220.0::double as y, (60 + s_nationkey * 2)::double as w, (60 + (s_suppkey * 7) % 50)::double as h from supplier)"))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from linkmosaic.errors import InputError
 from linkmosaic.operators import selection
 from linkmosaic.operators.selection import Groups, NetworkOptimizer, circuit_utility
+from linkmosaic.sources.schema import RasterMeta
 
 
 def test_groups_join_by_weight():
@@ -78,12 +79,72 @@ def test_leftover_grows_the_main_component_first():
     assert [c["id"] for c in added] == [2, 3] and stats["low_value_added"] == 2
 
 
-def test_thicken_pays_for_new_cells():
-    c = {"id": 1, "patch_ids": [1, 2], "path_cells": [55], "buffered_cells": [55], "cost": 1.0}
-    out, spent = selection.thicken([c], 100, 1, {1: 2.0, 2: 1.0}, 10, 10, {54})
-    assert out[0]["thicken_factor"] == 3 and spent == len(out[0]["buffered_cells"]) - 1
-    assert 54 not in out[0]["buffered_cells"]
-    assert selection.thicken([c], 2, 1, {1: 2.0, 2: 1.0}, 10, 10, set())[0][0]["thicken_factor"] == 1
+def leftover_by_scan(candidates, selected, weights, budget, bias=0.15):
+    """Every pick looks at all candidates again."""
+    sets, links, have, added = Groups(weights), selection.Links(), {c["id"] for c in selected}, []
+    for c in selected:
+        sets.union(*c["patch_ids"])
+        links.put(c["patch_ids"], c["length"])
+    while budget > 0:
+        main = max(dict.fromkeys(sets.find(p) for p in weights), key=lambda r: sets.size[r])
+        best = {"grow": (0.0, None), "loop": (0.0, None)}
+        for c in candidates:
+            a, b = (sets.find(p) for p in c["patch_ids"])
+            if c["id"] not in have and c["cost"] <= budget and main in (a, b):
+                kind, worth = ("loop", links.worth(*c["patch_ids"], c["length"])) if a == b else ("grow", sets.size[b if a == main else a])
+                if worth / c["cost"] > best[kind][0]:
+                    best[kind] = (worth / c["cost"], c)
+        grow, loop = best["grow"], best["loop"]
+        pick = loop[1] if loop[1] and (not grow[1] or loop[0] > grow[0] * (1 + bias)) else grow[1]
+        if pick is None:
+            return added
+        sets.union(*pick["patch_ids"])
+        links.put(pick["patch_ids"], pick["length"])
+        have.add(pick["id"])
+        added.append(pick["id"])
+        budget -= pick["cost"]
+    return added
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 7), st.integers(1, 7), st.integers(1, 9)), max_size=16), st.integers(0, 4), st.integers(0, 40))
+def test_leftover_as_by_scan(edges, n, budget):
+    weights = {i: float(i % 4 + 1) for i in range(1, 8)}
+    rows = pool([(i, a, b, k) for i, (a, b, k) in enumerate(edges) if a != b], weights)
+    added, stats = selection.spend_leftover(rows, rows[:n], weights, budget)
+    assert [c["id"] for c in added] == leftover_by_scan(rows, rows[:n], weights, budget)
+    assert stats["budget_used"] == sum(c["cost"] for c in added) and stats["low_value_added"] + stats["redundancy_added"] == len(added)
+
+
+def test_redundant_links_without_length_and_of_three_patches():
+    """A null length gives way to the cost; the detour is measured to the last patch."""
+    weights = dict.fromkeys((1, 2, 3), 1.0)
+    rows = [{"id": i, "patch_ids": ids, "cost": cost, "length": length, "roi": roi} for i, ids, cost, length, roi in [(1, [1, 2], 1.0, 5.0, 9.0), (2, [2, 3], 1.0, 5.0, 8.0), (3, [1, 3], 2.0, None, 1.0), (4, [1, 2, 3], 2.0, 3.0, 0.9)]]
+    picks, stats = circuit_utility(rows, weights, 5, seeding=False)
+    # 10 / 2 is a detour of 3 or more; after it the way from 1 to 3 is 2, shorter than the link of three patches
+    assert [(p["id"], p["kind"]) for p in picks] == [(1, "primary"), (2, "primary"), (3, "redundant")]
+    picks, stats = circuit_utility([rows[0], rows[1], rows[3]], weights, 5, seeding=False)
+    assert picks[-1]["id"] == 4 and stats["redundant_links"] == 1
+
+
+def test_thicken_pays_for_new_cells(spark):
+    meta = RasterMeta(10, 10)
+    c = spark.createDataFrame([(1, 1, 2, 0, [55], [55], 1.0)], "id long, patch1 long, patch2 long, ord int, path_cells array<long>, buffered_cells array<long>, cost double")
+    cells = spark.createDataFrame([(54, 3, False), (56, 0, False)], "cell long, patch_id long, obstacle boolean")
+    out, spent = selection.thicken(c, cells, 100, 1, 1, meta)
+    row = out.first()
+    assert row["thicken_factor"] == 3 and spent == len(row["buffered_cells"]) - 1 and row["cost"] == len(row["buffered_cells"])
+    assert 54 not in row["buffered_cells"] and 56 in row["buffered_cells"]
+    assert selection.thicken(c, cells, 2, 1, 1, meta)[0].first()["thicken_factor"] == 1
+
+
+def test_thicken_ends_with_the_first_step_that_does_not_fit(spark):
+    """Those at the main patch come first; a step that does not fit ends it, though a later one would."""
+    rows = [(1, 3, 4, 0, [15], [15], 1.0), (2, 1, 2, 1, [55], [55], 1.0)]
+    c = spark.createDataFrame(rows, "id long, patch1 long, patch2 long, ord int, path_cells array<long>, buffered_cells array<long>, cost double")
+    cells = spark.createDataFrame([], "cell long, patch_id long, obstacle boolean")
+    out, spent = selection.thicken(c, cells, 7, 1, 1, RasterMeta(10, 10))
+    assert spent == 4 and {r["id"]: r["thicken_factor"] for r in out.collect()} == {1: 1, 2: 2}
 
 
 def test_unknown_strategy():
