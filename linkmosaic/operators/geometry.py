@@ -116,6 +116,14 @@ def nearest(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, np.ndarray
     return float(d2[k, m]), q2[k, m], eb[k, :2]
 
 
+def lines_apart(a: np.ndarray, b: np.ndarray) -> float:
+    """Distance of two open lines of points."""
+    ea, eb = (np.concatenate([p[:-1], p[1:]], axis=1) if len(p) > 1 else np.concatenate([p, p], axis=1) for p in (a, b))
+    if _crossing(ea, eb) is not None:
+        return 0.0
+    return float(min(_closest_on(a, eb)[0].min(), _closest_on(b, ea)[0].min()))
+
+
 def box(geom: list[np.ndarray]) -> tuple[float, float, float, float]:
     p = np.concatenate(geom)
     return float(p[:, 0].min()), float(p[:, 1].min()), float(p[:, 0].max()), float(p[:, 1].max())
@@ -171,36 +179,57 @@ def overlay(take: list[list[np.ndarray]], drop: list[list[np.ndarray]] = (), bot
     e = np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
     slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
     base = e[:, 0] - slope * e[:, 1]
-    heights = [e[:, 1], e[:, 3]]
-    for i in range(len(e)):
-        den = slope[i] - slope[i + 1 :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            y = (base[i + 1 :] - base[i]) / den
-        lo, hi = np.maximum(e[i, 1], e[i + 1 :, 1]), np.minimum(e[i, 3], e[i + 1 :, 3])
-        heights.append(y[(den != 0) & (y > lo) & (y < hi)])
-    ys = np.unique(np.concatenate(heights))
+    ys = np.unique(np.concatenate([e[:, 1], e[:, 3], *_cuts(e, slope, base)]))
     ys = ys[np.r_[True, np.diff(ys) > TINY]]
-    out = []
-    for y0, y1 in zip(ys[:-1], ys[1:], strict=True):
-        mid = (y0 + y1) / 2
-        here = np.flatnonzero((e[:, 1] <= mid) & (e[:, 3] >= mid))
-        here = here[np.argsort(base[here] + slope[here] * mid, kind="stable")]
-        inside, n, start = set(), [0, 0, 0], None
-        for s in here:
-            who = owner[s]
-            n[kind[who]] += -1 if who in inside else 1
-            inside ^= {who}
-            on = n[0] > 0 and not n[1] and (both is None or n[2] > 0)
-            if on and start is None:
-                start = s
-            elif not on and start is not None:
-                x = [base[start] + slope[start] * y0, base[s] + slope[s] * y0, base[start] + slope[start] * y1, base[s] + slope[s] * y1]
-                if (x[1] - x[0] + x[3] - x[2]) * (y1 - y0) / 2 > 1e-12:
-                    out.append((float(y0), float(x[0]), float(x[1]), float(y1), float(x[2]), float(x[3])))
-                start = None
+    out: list[tuple] = []
+    rows = max(1, 1_000_000 // (len(e) + len(groups)))
+    for lo in range(0, len(ys) - 1, rows):
+        out += _walk(e, slope, base, owner, np.array(kind), ys[lo : lo + rows + 1], both is not None)
     return out
 
 
+def _cuts(e: np.ndarray, slope: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+    """Heights at which sides cross; so many sides at a time that the table of pairs stays small."""
+    out, step = [], max(1, 1_000_000 // len(e))
+    for lo in range(0, len(e), step):
+        hi = min(lo + step, len(e))
+        den = slope[lo:hi, None] - slope[None, lo:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = (base[None, lo:] - base[lo:hi, None]) / den
+        least, most = np.maximum(e[lo:hi, 1, None], e[None, lo:, 1]), np.minimum(e[lo:hi, 3, None], e[None, lo:, 3])
+        out.append(y[(den != 0) & (y > least) & (y < most)])
+    return out
+
+
+def _walk(e: np.ndarray, slope: np.ndarray, base: np.ndarray, owner: np.ndarray, kind: np.ndarray, ys: np.ndarray, within: bool) -> list[tuple]:
+    """The trapezoids between neighbouring heights: all levels step over their sides from left to right together."""
+    mid = (ys[:-1] + ys[1:]) / 2
+    here = (e[None, :, 1] <= mid[:, None]) & (e[None, :, 3] >= mid[:, None])
+    count = here.sum(axis=1)
+    order = np.argsort(np.where(here, base + slope * mid[:, None], np.inf), axis=1, kind="stable")
+    inside, n = np.zeros((len(mid), len(kind)), bool), np.zeros((len(mid), 3), int)
+    start, all_rows, found = np.full(len(mid), -1), np.arange(len(mid)), []
+    for place in range(int(count.max(initial=0))):
+        rows = all_rows[place < count]
+        side = order[rows, place]
+        who = owner[side]
+        n[rows, kind[who]] += np.where(inside[rows, who], -1, 1)
+        inside[rows, who] ^= True
+        on = (n[rows, 0] > 0) & (n[rows, 1] == 0) & ((n[rows, 2] > 0) | (not within))
+        ends = ~on & (start[rows] >= 0)
+        found.append((rows[ends], start[rows[ends]], side[ends]))
+        start[rows] = np.where(on, np.where(start[rows] < 0, side, start[rows]), -1)
+    if not found:
+        return []
+    k, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    y0, y1 = ys[k], ys[k + 1]
+    x = np.stack([base[a] + slope[a] * y0, base[b] + slope[b] * y0, base[a] + slope[a] * y1, base[b] + slope[b] * y1])
+    wide = (x[1] - x[0] + x[3] - x[2]) * (y1 - y0) / 2 > 1e-12
+    first = np.lexsort((x[0], y0))
+    first = first[wide[first]]
+    return list(map(tuple, np.stack([y0, x[0], x[1], y1, x[2], x[3]], axis=1)[first].tolist()))
+
+
 def slabs_area(slabs: list[tuple]) -> float:
     return sum((b - a + d - c) * (y1 - y0) / 2 for y0, a, b, y1, c, d in slabs)
 
@@ -236,6 +265,45 @@ def slabs_polygons(slabs: list[tuple]) -> list[list[np.ndarray]]:
     return [[np.array([(a, y0), (b, y0), (d, y1), (c, y1)])] for y0, a, b, y1, c, d in slabs]
 
 
+def outline(slabs: list[tuple]) -> list[np.ndarray]:
+    """Rings around touching trapezoids, the inside to their left: outer rings run against the clock, holes with it."""
+    key = lambda x, y: (round(x, 6), round(y, 6))
+    runs: list[tuple] = []
+    levels: dict[float, list[tuple[float, float, int]]] = {}
+    for y0, a, b, y1, c, d in slabs:
+        runs += [((b, y0), (d, y1)), ((c, y1), (a, y0))]
+        levels.setdefault(round(y0, 6), []).append((a, b, 1))
+        levels.setdefault(round(y1, 6), []).append((c, d, -1))
+    for y, spans in levels.items():
+        xs = sorted({round(x, 6) for a, b, _ in spans for x in (a, b)})
+        for p, q in zip(xs[:-1], xs[1:], strict=True):
+            over = sum(side for a, b, side in spans if round(a, 6) <= p and q <= round(b, 6))
+            if over:
+                runs.append(((p, y), (q, y)) if over > 0 else ((q, y), (p, y)))
+    leads: dict[tuple, list[tuple]] = {}
+    for p, q in runs:
+        if key(*p) != key(*q):
+            leads.setdefault(key(*p), []).append(key(*q))
+    rings_out = []
+    while leads:
+        first = at = next(iter(leads))
+        ring = []
+        while at in leads:
+            ring.append(at)
+            to = leads[at].pop()
+            if not leads[at]:
+                del leads[at]
+            at = to
+            if at == first:
+                break
+        p = np.array(ring)
+        turn = np.cross(p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p) if len(p) > 2 else np.zeros(len(p))
+        p = p[np.abs(turn) > 1e-9]
+        if len(p) > 2:
+            rings_out.append(p)
+    return sorted(rings_out, key=lambda p: -abs(signed_area(p)))
+
+
 def repair(geom: list[np.ndarray]) -> list[list[np.ndarray]]:
     """A polygon whose sides cross, by parity: the parts of its inside as polygons that touch at most."""
     return slabs_polygons(overlay([geom]))
