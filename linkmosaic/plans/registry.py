@@ -521,7 +521,7 @@ def near_polygons(spark, sf_dir):
     return rounded(vector.near_polygons(shapes, 300.0).select("i", "j", "dist"), "dist")
 
 
-@query()
+@query("select min(s_suppkey) as id, cast(sum(220 * (60 + (s_suppkey * 7) % 50)) as double) as area from supplier group by s_suppkey // 10")
 def merge_touching(spark, sf_dir):
     """Rectangles widened so that neighbours in a row touch: merged groups with their area."""
     rects = fixtures.rectangles(spark, sf_dir).withColumn("w", F.lit(220.0))
@@ -529,19 +529,19 @@ def merge_touching(spark, sf_dir):
     return rounded(vector.prepared(merged).select("id", "area"), "area")
 
 
-def vector_run(spark, sf_dir):
-    shapes = fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir))
-    return vector.find_corridors(shapes, 2.0, crs=32618, min_patch_size=0.1, min_corridor_width=20, max_search_distance=200)
+VECTOR_RUN = {"budget": 2.0, "crs": 32618, "min_patch_size": 0.1, "min_corridor_width": 20, "max_search_distance": 200}
 
 
 @query()
 def vector_candidates(spark, sf_dir):
-    return vector_run(spark, sf_dir).tables["candidates"].select("id", "patch1", "patch2", "cost", "length", "roi", "is_connected")
+    found = vector.search_corridors(fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir)), **VECTOR_RUN)
+    return found.candidates.select("id", "patch1", "patch2", "cost", "length", "roi", "is_connected")
 
 
 @query()
 def vector_pipeline(spark, sf_dir):
-    return vector_run(spark, sf_dir).tables["corridors"].select("id", "patch1", "patch2", "patch_ids", "corridor_area_m2", "corridor_length_m", "component_id", "connected_area_m2", "efficiency")
+    done = vector.find_corridors(fixtures.rectangle_polygons(fixtures.rectangles(spark, sf_dir)), **VECTOR_RUN)
+    return done.tables["corridors"].select("id", "patch1", "patch2", "patch_ids", "corridor_area_m2", "corridor_length_m", "component_id", "connected_area_m2", "efficiency")
 
 
 @query("select c_custkey as id, round(x::double, 4) as lon, round(y::double, 4) as lat from (select c_custkey, (c_custkey * 7) % 360 - 179.5 as x, (c_custkey * 11) % 160 - 79.5 as y from customer)")
