@@ -1,38 +1,42 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, star rounds, verified pairs."""
+"""Near copies by five-word shingles: SimHash links, min-hash bands for those beyond its radius, all verified by Jaccard."""
 
 from __future__ import annotations
 
+import struct
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkmosaic.llm.simhash import _LOWER
-from linkmosaic.operators.components import connected_components
+from linkmosaic.llm.simhash import _LOWER, _SLICE, add_bits, ball_links, majority
+from linkmosaic.operators.components import SMALL, connected_components
 from linkmosaic.sources.shared import discard, materialize
 
 WORDS = 5
-STARS = 2
-_SAMPLE = 16  # one text in so many tells which shingles are common
-_COMMON = 100_000
+SEED = 42
+BANDS, ROWS = 16, 3  # a pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 3) ** 16 = 0.00001
+MORE = 8  # so many times the centres in every round
 _BITS = 1024
+_FACTORS = np.array([xxhash.xxh64_intdigest(struct.pack("<I", k)) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles (ASCII lower case, words between ASCII white space).
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included (ASCII lower case, words between ASCII white space).
 
     Fewer words than a shingle has: the whole sequence is the one shingle; no words or null: none.
     """
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
-        return np.empty(0, np.uint64)
-    grams = list(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))) if len(found) >= words else [b" ".join(found)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype="<u8", count=len(grams)))
+        return np.empty(0, "<u8")
+    grams = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=max(1, len(found) - words + 1))
 
 
-def _set_id(held: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes())).astype(np.int64))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _parity(held: np.ndarray) -> np.ndarray:
@@ -41,117 +45,106 @@ def _parity(held: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of shingles that a sample of the texts shows to be common."""
-
-    def run(batches):
-        for b in batches:
-            held = [shingle_set(t) for t in b["text"]]
-            yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.uint64), *held]).astype(np.int64)})
-
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE)) == 0).select("text").mapInPandas(run, "key long")
-    top = sample.groupBy("key").count().filter("count >= 3").orderBy(F.desc("count"), "key").limit(_COMMON).toPandas()
-    keys, counts = top["key"].to_numpy(np.int64).astype(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
+def _bands(held: np.ndarray) -> list[int]:
+    """A key for each band of least hashes."""
+    if not len(held):
+        return []
+    mixed = held ^ (held >> np.uint64(29))
+    least = np.array([(mixed * f).min() for f in _FACTORS], dtype="<u8").reshape(BANDS, ROWS)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least)]
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_id, n, parity, prefix): the n - ceil(0.8 n) + 1 first shingles of a set of n, the rare ones first.
 
-    Two sets of similarity 0.8 share one of these at least, whatever the order is, if it is the same for all.
-    The sample only chooses the order: what it misses costs time, not pairs.
-    """
-    keys, counts = _common(docs)
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, set_id, fp, n, parity, bands): of the set of shingles its hash, size, parity bits and band keys; of all shingles the SimHash."""
 
     def run(batches):
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
-                held = shingle_set(t)
-                n = len(held)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, held), len(keys) - 1)
-                    held_first = held[np.lexsort((held, np.where(keys[at] == held, counts[at], 0)))]
-                else:
-                    held_first = held
-                rows.append((i, _set_id(held), n, _parity(held), held_first[: n + (-4 * n // 5) + 1 if n else 0].astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "n", "parity", "prefix"])
+                hashes = shingle_hashes(t)
+                total = np.zeros(64, np.int64)
+                for lo in range(0, len(hashes), _SLICE):
+                    add_bits(total, hashes[lo : lo + _SLICE])
+                held = np.unique(hashes)
+                rows.append((i, _signed(xxhash.xxh64_intdigest(held.tobytes())), _signed(majority(total, len(hashes))) if len(hashes) else 0, len(held), _parity(held), _bands(held)))
+            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "fp", "n", "parity", "bands"])
 
-    return _texts(docs).mapInPandas(run, "doc_id long, set_id long, n int, parity array<long>, prefix array<long>")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return given.mapInPandas(run, "doc_id long, set_id long, fp long, n int, parity array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """(set_id, held): the set as the upper 32 bits of its hashes."""
+
     def run(batches):
         for b in batches:
-            held = [shingle_set(t) for t in b["text"]]
-            yield pd.DataFrame({"set_id": [_set_id(h) for h in held], "held": [h.astype(np.int64) for h in held]})
-
-    return docs.select("text").mapInPandas(run, "set_id long, held array<long>")
-
+            sets = [np.unique(shingle_hashes(t)) for t in b["text"]]
+            yield pd.DataFrame({"set_id": [_signed(xxhash.xxh64_intdigest(h.tobytes())) for h in sets], "held": [np.unique(h >> np.uint64(32)).astype("<u4").view("<i4") for h in sets]})
 
-def _may_reach(a: str, b: str):
-    """Whether two sets that first meet at these places can share 4/9 of their sizes' sum, which 0.8 needs."""
-    return F.expr(f"9 * (1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1)) >= 4 * ({a}.n + {b}.n) and 5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n)")
+    return docs.select("text").mapInPandas(run, "set_id long, held array<int>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (u, v), those of similarity 0.8 or more.
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of sets, those of similarity 0.8 or more: they share 4/9 of their sizes' sum.
 
     Bits of parity that differ are at most the shingles that differ, of which 0.8 allows a ninth of the
     sizes' sum: that spares most pairs their whole sets.
     """
     left, right = (classes.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")) for k in "uv")
-    both = pairs.join(left, "u").join(right, "v")
+    sized = F.expr("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
     alike = F.expr("9 * aggregate(zip_with(p_u, p_v, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= n_u + n_v")
-    pairs = materialize(both.filter(alike).select("u", "v"), "shingles")
+    pairs = materialize(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").filter(sized & alike).select("u", "v"), "shingles")
     ids = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
-    wanted = reps.join(ids, "set_id", "left_semi").select("doc_id").distinct()
+    wanted = classes.join(ids, "set_id", "left_semi").select("doc_id").distinct()
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = materialize(_sets(_texts(docs).join(wanted, "doc_id", "left_semi").repartition(wide)), "shingles")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    sets = materialize(_sets(named.repartition(wide)), "shingles")
     left, right = (sets.select(F.col("set_id").alias(k), F.col("held").alias(f"held_{k}")) for k in "uv")
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v")
-    shared = F.size(F.array_intersect("held_u", "held_v"))
-    links = materialize(both.filter(9 * shared >= 4 * (F.size("held_u") + F.size("held_v"))).select("u", "v").distinct(), "shingles")
+    links = materialize(both.filter(9 * F.size(F.array_intersect("held_u", "held_v")) >= 4 * (F.size("held_u") + F.size("held_v"))).select("u", "v").distinct(), "shingles")
     discard(sets)
+    discard(pairs)
     return links
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of documents with an id: what pairs of five-word Jaccard >= 0.8 connect, named by its least doc_id.
 
-    No pair is lost: sets that similar share a shingle of their prefixes.  Equal sets (texts without words
-    among them) are one class from the start.  Star rounds link the sets of a shingle to one of them, which
-    joins large groups without making their pairs; pairs are then made only where a shingle still lies in
-    two components.  Every link is verified on the whole sets.
+    Equal sets (texts without words among them) are one class from the start.  Candidates are pairs within
+    3 bits by SimHash, and sets that share a band of min-hashes; every link is verified on the whole sets.
+    Nobody lists the pairs of a band: in each round its sets are compared with a few centres only, one at
+    first, then MORE times as many, as long as the band lies in several components and holds sets that
+    have not been compared.  A band of near copies so costs its size; one of sets that are not alike ends
+    when all of them have been centres, so no pair is given up.
     """
     spark = docs.sparkSession
-    per_doc = materialize(prefixes(docs), "shingles")
-    spread = per_doc.select("set_id", "n", F.posexplode("prefix").alias("pos", "key"))
+    per_doc = materialize(signatures(docs), "shingles")
+    classes = materialize(per_doc.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity")), "shingles")
+    prints = classes.groupBy("fp").agg(F.min("set_id").alias("rep"))
+    equal = classes.join(prints, "fp").filter("set_id <> rep").select(F.col("set_id").alias("u"), F.col("rep").alias("v"))
+    pairs = equal.unionByName(ball_links(materialize(prints, "shingles")))
+    spread = per_doc.select("set_id", F.explode("bands").alias("key")).distinct()
     met = spread.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b").select("key")
-    near = materialize(spread.join(met.hint("merge"), "key").distinct(), "shingles")
-    classes = per_doc.select("set_id", "n", "parity").distinct()
-    reps = per_doc.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    pairs = spark.createDataFrame([], "u long, v long")
-    for k in range(STARS):
-        centre = near.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n", "pos")).alias("c"))
-        star = near.alias("a").join(centre.hint("merge"), "key").filter("set_id <> c.set_id").filter(_may_reach("a", "c"))
-        pairs = pairs.unionByName(star.select(F.least("set_id", "c.set_id").alias("u"), F.greatest("set_id", "c.set_id").alias("v")))
-    links = _verified(docs, pairs.distinct(), classes, reps)
-    parts = connected_components(links)
-    placed = near.join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
+    near = materialize(spread.join(met.hint("merge"), "key").withColumn("part", F.col("set_id")), "shingles")
+    links, slots, none = None, 1, spark.createDataFrame([], "u long, v long")
+    while True:
+        slot = F.pmod(F.xxhash64("set_id", F.lit(slots)), F.lit(slots))
+        centres = near.groupBy("key", slot.alias("_s")).agg(F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id", "part")).alias("c")).select("key", F.col("c.set_id").alias("centre"), F.col("c.part").alias("its"))
+        star = near.join(centres.hint("merge"), "key").filter("set_id <> centre and part <> its")
+        pairs = pairs.unionByName(star.select(F.least("set_id", "centre").alias("u"), F.greatest("set_id", "centre").alias("v")))
+        found = _verified(docs, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes)
+        links = found if links is None else links.unionByName(found)
+        parts = materialize(connected_components(links, small=SMALL), "shingles")
+        # bands that still lie in several components, and hold more sets than centres
+        placed = near.drop("part").join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
+        placed = placed.join(centres.groupBy("key").agg(F.count("*").alias("n_centres")), "key")
+        open_keys = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("k"), F.max("n_centres").alias("c")).filter("a <> b and k > c").select("key")
+        then = materialize(placed.join(open_keys.hint("merge"), "key").select("set_id", "key", "part"), "shingles")
+        discard(near)
+        near, pairs, slots = then, none, slots * MORE
+        if not near.limit(1).count():
+            break
+    placed = classes.select("set_id", "doc_id").join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
     placed = materialize(placed, "shingles")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
-    left = materialize(placed.join(mixed.hint("merge"), "key"), "shingles")
-    pairs = left.alias("a").join(left.alias("b").hint("merge"), "key").filter("a.set_id < b.set_id and a.part <> b.part").filter(_may_reach("a", "b"))
-    pairs = pairs.select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v")).distinct()
-    links = links.unionByName(_verified(docs, pairs, classes, reps))
-    parts = connected_components(links)
-    placed = reps.join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
-    least = materialize(placed.groupBy("part").agg(F.min("doc_id").alias("component_id")), "shingles")
-    named = placed.join(least, "part").select("set_id", "component_id")
+    named = placed.join(placed.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("set_id", "component_id")
     return per_doc.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")

@@ -21,15 +21,24 @@ HALF = 32
 
 
 def _bit_counts(shingles) -> tuple[np.ndarray, int]:
+    """How many of the hashes, an iterator of them, have each bit, and how many there are."""
     total, n = np.zeros(64, np.int64), 0
     while True:
         part = np.fromiter((h for _, h in zip(range(_SLICE), shingles)), dtype="<u8")
         if not len(part):
             return total, n
         n += len(part)
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for lo in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            total += bits[lo : lo + 255].sum(axis=0, dtype=np.uint8)
+        add_bits(total, part)
+
+
+def add_bits(total: np.ndarray, hashes: np.ndarray) -> None:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for lo in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+        total += bits[lo : lo + 255].sum(axis=0, dtype=np.uint8)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    return int(np.bitwise_or.reduce(np.where(2 * total > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))))
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -42,7 +51,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         return 0
     grams = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
     total, n = _bit_counts(map(xxhash.xxh64_intdigest, grams, repeat(seed)))
-    return int(np.bitwise_or.reduce(np.where(2 * total > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))))
+    return majority(total, n)
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

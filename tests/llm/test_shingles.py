@@ -64,9 +64,9 @@ def brute(rows):
     return {i for i in sets if top(i) == i}, near
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_near_copies_against_brute_force(spark, monkeypatch, stars):
-    monkeypatch.setattr("linkmosaic.llm.shingles.STARS", stars)
+@pytest.mark.parametrize("more", [2, 8])
+def test_near_copies_against_brute_force(spark, monkeypatch, more):
+    monkeypatch.setattr("linkmosaic.llm.shingles.MORE", more)
     rows = planted()
     kept, near = brute(rows)
     assert near > 100 and len(kept) < len(rows)
