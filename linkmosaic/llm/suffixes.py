@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmosaic.llm.common import pack_extra, table, text_of, unpack_extra
-from linkmosaic.sources.shared import materialize
+from linkmosaic.sources.shared import discard, materialize
 
 SPAN = 400  # bytes of a string that counts as repeated
-WINDOW = 256  # places among which a string's anchor is chosen; a power of two below SPAN
-PREFIX = SPAN - WINDOW + 1  # bytes that all strings with one anchor have from the anchor on
+PASSAGE = 256  # the least length that can be asked for: some fifty words without a break
+WINDOW = 160  # places among which a string's anchor is chosen
+PREFIX = PASSAGE - WINDOW + 1  # bytes that all strings with one anchor have from the anchor on
 GRAM = 8  # bytes that the choice of an anchor looks at
 CHUNK = 1 << 22  # bytes of a text that are looked at together
 RUN_BYTES = 48 << 20  # suffix bytes after which a task closes a run
@@ -29,14 +30,14 @@ PAIRS = 24  # different contexts up to which a group is resolved pair by pair
 
 
 def anchors(data: bytes) -> list[tuple[int, int, int]]:
-    """(place, most, least) of the anchors of a text's strings of SPAN bytes.
+    """(place, most, least) of the anchors of a text's strings of PASSAGE bytes or more.
 
-    Every string of SPAN bytes has one anchor: the leftmost place of the least hash among its first WINDOW
-    places.  Equal strings so have their anchors at equal offsets.  `place` is the anchor of the strings
-    that start from `most` to `least` bytes before it.
+    Every string has one anchor: the leftmost place of the least hash among its first WINDOW places.  Equal
+    strings so have their anchors at equal offsets.  `place` is the anchor of the strings that start from
+    `most` to `least` bytes before it.
     """
     out: list[tuple[int, int, int]] = []
-    n_starts = len(data) - SPAN + 1
+    n_starts = len(data) - PASSAGE + 1
     for lo in range(0, max(n_starts, 0), CHUNK):
         starts = min(CHUNK, n_starts - lo)
         raw = np.frombuffer(data, np.uint8, count=starts + WINDOW + GRAM - 2, offset=lo)
@@ -44,10 +45,11 @@ def anchors(data: bytes) -> list[tuple[int, int, int]]:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         low = ((h >> np.uint64(25)) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-        step = 1
-        while step < WINDOW:
+        wide = 1
+        while wide < WINDOW:
+            step = min(wide, WINDOW - wide)
             low = np.minimum(low[:-step], low[step:])
-            step *= 2
+            wide += step
         at = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], starts] - 1
@@ -73,12 +75,13 @@ _HEAD = struct.Struct("<II")
 class Run:
     """Suffixes of one task for one merge, as they are gathered: (right, left, least, place, document)."""
 
-    def __init__(self) -> None:
+    def __init__(self, reach: int = SPAN) -> None:
         self.items: list[tuple[bytes, bytes, int, int, int]] = []
         self.size = 0
+        self.reach = reach
 
     def add(self, data: bytes, place: int, most: int, least: int, doc: int) -> None:
-        right = data[place : place + SPAN - least]
+        right = data[place : place + self.reach - least]
         self.items.append((right, data[place - most : place][::-1], least, place, doc))
         self.size += len(right) + most + 100
 
@@ -177,10 +180,10 @@ def merged(runs: list[Iterable[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int
 # ---------------------------------------------------------------- what is repeated
 
 
-def _by_pairs(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]], found: list[list[tuple[int, int]]]) -> None:
+def _by_pairs(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]], found: list[list[tuple[int, int]]], span: int) -> None:
     for i in range(len(kinds)):
         for j in range(i + 1, len(kinds)):
-            lo = max(wide[i][0], wide[j][0], SPAN - common(kinds[i][0], kinds[j][0], PREFIX))
+            lo = max(wide[i][0], wide[j][0], span - common(kinds[i][0], kinds[j][0], PREFIX))
             hi = min(wide[i][1], wide[j][1])
             if lo <= hi:
                 hi = min(hi, common(kinds[i][1], kinds[j][1]))
@@ -189,7 +192,7 @@ def _by_pairs(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]]
                     found[j].append((lo, hi))
 
 
-def _by_offset(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]], found: list[list[tuple[int, int]]]) -> None:
+def _by_offset(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]], found: list[list[tuple[int, int]]], span: int) -> None:
     """For every offset of the start before the anchor, the classes of equal right parts and of equal left parts together."""
     n = len(kinds)
     share = np.array([common(kinds[i - 1][0], kinds[i][0]) if i else 0 for i in range(n)])
@@ -202,7 +205,7 @@ def _by_offset(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]
         here = np.flatnonzero((least <= off) & (off <= most))
         if len(here) < 2:
             continue
-        right = np.cumsum(share < SPAN - off)
+        right = np.cumsum(share < span - off)
         left = np.cumsum(left_share < off)[rank]
         _, back, count = np.unique(right[here] * (n + 1) + left[here], return_inverse=True, return_counts=True)
         for i in here[count[back] > 1].tolist():
@@ -212,20 +215,21 @@ def _by_offset(kinds: list[tuple[bytes, bytes, int]], wide: list[tuple[int, int]
                 found[i].append((off, off))
 
 
-def repeated(group: list[tuple[bytes, bytes, int, int, tuple]]) -> Iterator[tuple[tuple, int, int]]:
-    """Of suffixes that share their first PREFIX bytes: (document, from, to) of bytes under a repeated string.
+def repeated(group: list[tuple[bytes, bytes, int, int, tuple]], span: int = SPAN) -> Iterator[tuple[tuple, int, int]]:
+    """Of suffixes that share their first PREFIX bytes: (document, from, to) of bytes under a repeated string of `span` bytes.
 
     A string that starts l bytes before its anchor is repeated if another anchor of the group has the same
-    l bytes before it and the same SPAN - l bytes from it on.  Equal contexts are held once, with a count.
+    l bytes before it and the same span - l bytes from it on.  Equal contexts are held once, with a count.
     """
     kinds: dict[tuple[bytes, bytes, int], list[tuple[int, tuple]]] = {}
     for right, left, least, place, doc in group:
         kinds.setdefault((right, left, least), []).append((place, doc))
     keys = sorted(kinds)
-    wide = [(least, len(left)) for _, left, least in keys]
-    found: list[list[tuple[int, int]]] = [[w] if len(kinds[k]) > 1 else [] for k, w in zip(keys, wide, strict=True)]
+    # a text that ends soon has no string of the span that starts near the anchor
+    wide = [(max(least, span - len(right)), len(left)) for right, left, least in keys]
+    found: list[list[tuple[int, int]]] = [[w] if len(kinds[k]) > 1 and w[0] <= w[1] else [] for k, w in zip(keys, wide, strict=True)]
     if len(keys) > 1:
-        (_by_pairs if len(keys) <= PAIRS else _by_offset)(keys, wide, found)
+        (_by_pairs if len(keys) <= PAIRS else _by_offset)(keys, wide, found, span)
     for key, spans in zip(keys, found, strict=True):
         if spans:
             spans = sorted(set(spans))
@@ -237,7 +241,7 @@ def repeated(group: list[tuple[bytes, bytes, int, int, tuple]]) -> Iterator[tupl
                     joined.append([lo, hi])
             for place, doc in kinds[key]:
                 for lo, hi in joined:
-                    yield doc, place - hi, place - lo + SPAN
+                    yield doc, place - hi, place - lo + span
 
 
 def groups(runs: list[Iterable[tuple[int, bytes, tuple]]]) -> Iterator[list[tuple[bytes, bytes, int, int, tuple]]]:
@@ -252,14 +256,19 @@ def groups(runs: list[Iterable[tuple[int, bytes, tuple]]]) -> Iterator[list[tupl
         yield group
 
 
-def cut(data: bytes, spans) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, maximal runs removed) without the bytes of (from, to) spans."""
+def maximal(spans) -> list[list[int]]:
     runs: list[list[int]] = []
     for lo, hi in sorted(spans):
         if runs and lo <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], hi)
         else:
             runs.append([lo, hi])
+    return runs
+
+
+def cut(data: bytes, spans) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal runs removed) without the bytes of (from, to) spans."""
+    runs = maximal(spans)
     kept, at = [], 0
     for lo, hi in runs:
         kept.append(data[at:lo])
@@ -275,8 +284,8 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, th) -> (doc_id, th, spans): spans of repeated strings, for the texts that have any.
+def repeated_spans(docs: DataFrame, laws: tuple[int, ...] = (SPAN,)) -> DataFrame:
+    """docs(_id, _th, _text, ...) -> (_id, _th, spans): (law, lo, hi) under repeated strings of `law` bytes, for the texts that have any.
 
     1. Tasks list the anchors of their texts with a hash of the PREFIX bytes from each anchor on.
     2. Anchors whose hash no other anchor has can't lie in a repeated string; they are dropped by an
@@ -289,20 +298,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def sample(batches):
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
+            for doc_id, th, text in zip(b["_id"], b["_th"], b["_text"], strict=True):
                 data = _bytes(text)
                 rows += [(doc_id, th, p, m, x, xxhash.xxh64_intdigest(data[p : p + PREFIX]) - (1 << 63)) for p, m, x in anchors(data)]
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "place", "most", "least", "key"])
+            yield pd.DataFrame(rows, columns=["_id", "_th", "place", "most", "least", "key"])
 
-    listed = materialize(docs.mapInPandas(sample, "doc_id long, th long, place long, most int, least int, key long"), "suffix")
+    reach = max(laws)
+    listed = materialize(docs.select("_id", "_th", "_text").mapInPandas(sample, "_id long, _th long, place long, most int, least int, key long"), "suffix")
     # a table of its own, so that the join reads two plain shuffles, of which AQE can split the hot parts
     twice = materialize(listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "suffix")
     held = materialize(listed.join(twice.hint("merge"), "key", "left_semi"), "suffix")
+    discard(listed)
+    discard(twice)
     n = held.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (SPAN + WINDOW) // PART_BYTES))
-    mine = held.groupBy("doc_id", "th").agg(F.collect_set(F.struct("place", "most", "least", "key")).alias("anchors"), F.count("*").alias("n"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (reach + WINDOW) // PART_BYTES))
+    mine = held.groupBy("_id", "_th").agg(F.collect_set(F.struct("place", "most", "least", "key")).alias("anchors"), F.count("*").alias("n"))
     # rows that repeat a whole document list their anchors as often; each takes its own set
-    joined = docs.join(mine.hint("shuffle_hash"), ["doc_id", "th"])
+    # all columns go along: so this join and the one that gives every document its spans read one shuffle
+    joined = docs.join(mine.hint("shuffle_hash"), ["_id", "_th"])
 
     def send(batches):
         runs: dict[int, Run] = {}
@@ -316,11 +329,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for doc_id, th, text, marks in zip(b["doc_id"], b["th"], b["text"], b["anchors"], strict=True):
+            for doc_id, th, text, marks in zip(b["_id"], b["_th"], b["_text"], b["anchors"], strict=True):
                 data = _bytes(text)
                 docs_here.append((int(doc_id), int(th)))
                 for m in marks:
-                    run = runs.setdefault(m["key"] % parts, Run())
+                    run = runs.setdefault(m["key"] % parts, Run(reach))
                     before = run.size
                     run.add(data, m["place"], m["most"], m["least"], len(docs_here) - 1)
                     size += run.size - before
@@ -330,32 +343,38 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield close()
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*doc, lo, hi) for group in groups([decoded(x) for x in g["run"]]) for doc, lo, hi in repeated(group)]
-        return pd.DataFrame(rows, columns=["doc_id", "th", "lo", "hi"])
+        held: dict[tuple, list] = {}
+        for group in groups([decoded(x) for x in g["run"]]):
+            for law in laws:
+                for doc, lo, hi in repeated(group, law):
+                    held.setdefault((*doc, law), []).append((lo, hi))
+        rows = [(i, th, law, lo, hi) for (i, th, law), spans in held.items() for lo, hi in maximal(spans)]
+        return pd.DataFrame(rows, columns=["_id", "_th", "law", "lo", "hi"])
 
-    runs = joined.select("doc_id", "th", "text", "anchors").mapInPandas(send, "part int, run binary")
-    spans = runs.repartition(parts, "part").groupBy("part").applyInPandas(merge, "doc_id long, th long, lo long, hi long")
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    runs = joined.mapInPandas(send, "part int, run binary")
+    spans = runs.repartition(parts, "part").groupBy("part").applyInPandas(merge, "_id long, _th long, law int, lo long, hi long")
+    return spans.groupBy("_id", "_th").agg(F.collect_set(F.struct("law", "lo", "hi")).alias("spans"))
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds `spans`, the (lo, hi) byte spans under strings of SPAN bytes that start anywhere else too.
+def without_repeats(df: DataFrame, laws: tuple[int, ...] = (SPAN,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds `spans`: (law, lo, hi) byte spans under strings of `law` bytes that start anywhere else too.
 
-    Rows are told apart by id and text; rows equal in both repeat each other, so that all their strings of
-    SPAN bytes go.  Null and short texts have no spans.  A null id is a value like any other.
+    Laws are PASSAGE or more.  Rows are told apart by id and text; rows equal in both repeat each other, so
+    that all their strings go.  Null and short texts have no spans.  A null id is a value like any other.
+    No rows: no rows.  The text column is called _text in the result, the others keep their names.
     """
+    if min(laws) < PASSAGE:
+        raise ValueError(f"strings of fewer than {PASSAGE} bytes have no anchor")
     th = F.xxhash64(text_of(text_col))
-    keyed = df.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("_th", th)
-    docs = keyed.select(F.col("_id").alias("doc_id"), F.col(text_col).alias("text"), F.col("_th").alias("th"))
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "spans")
-    return keyed.join(spans.hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th")
+    keyed = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_th": th}).withColumnRenamed(text_col, "_text")
+    return keyed.join(repeated_spans(keyed, laws).hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th")
 
 
-def strip_repeats(df: DataFrame) -> DataFrame:
-    """Documents with the repeated strings cut out of their texts, n_chars adapted; other columns as they are.
+def strip_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """Documents with the repeated strings of `span` bytes cut out of their texts, n_chars adapted; other columns as they are.
 
     Bytes of a character that is cut through are left out with it.  A text of which nothing is left is empty;
-    a null text stays null.
+    a null text stays null.  No rows: no rows.
     """
     packed = pack_extra(df)
 
@@ -372,20 +391,28 @@ def strip_repeats(df: DataFrame) -> DataFrame:
                 cols[j] = pa.array([old if not s else len(t) for t, s, old in zip(texts, spans, cols[j].to_pylist(), strict=True)], cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    cleaned = without_repeats(packed).select(*packed.columns, "spans").mapInArrow(run, T.StructType(packed.schema.fields))
+    cleaned = without_repeats(packed, (span,)).withColumnRenamed("_text", "text").select(*packed.columns, "spans").mapInArrow(run, T.StructType(packed.schema.fields))
     return unpack_extra(cleaned, df.columns)
 
 
 def op5_front_coded_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row a document by the law of SPAN bytes; n_passage counts the bytes under repeated strings of PASSAGE bytes.
+
+    Null and empty texts have no bytes and the digest of nothing.  No documents: no rows.
+    """
+    marked = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), (SPAN, PASSAGE))
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
+            for doc_id, text, spans in zip(b["doc_id"], b["_text"], b["spans"], strict=True):
                 data = _bytes(text)
-                kept, removed, n = cut(data, [(x["lo"], x["hi"]) for x in spans] if spans is not None else [])
-                rows.append((doc_id, len(data), removed, n, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return marked.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                by_law: dict[int, list] = {SPAN: [], PASSAGE: []}
+                for x in spans if spans is not None else ():
+                    by_law[x["law"]].append((x["lo"], x["hi"]))
+                kept, removed, n = cut(data, by_law[SPAN])
+                passages = sum(hi - lo for lo, hi in maximal(by_law[PASSAGE]))
+                rows.append((doc_id, len(data), removed, n, hashlib.sha256(kept).hexdigest(), passages))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"])
+
+    return marked.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")

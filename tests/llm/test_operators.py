@@ -163,14 +163,14 @@ def test_licenses_on_odd_texts(spark, odd, none):
 # ---------------------------------------------------------------- repeated strings
 
 
-def brute_spans(texts):
-    count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+def brute_spans(texts, span=400):
+    count = Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if count[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        for i in range(len(t) - span + 1):
+            if count[t[i : i + span]] > 1:
+                gone[i : i + span] = b"\1" * span
         kept = bytes(x for x, r in zip(t, gone, strict=True) if not r)
         out.append((len(t), sum(gone), sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
     return out
@@ -196,8 +196,9 @@ def mixed_texts(seed):
     return texts
 
 
+@pytest.mark.parametrize("span", [256, 300, 400])
 @pytest.mark.parametrize("seed", range(12))
-def test_suffix_runs_against_brute_force(seed, monkeypatch):
+def test_suffix_runs_against_brute_force(seed, span, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(suffixes, "PAIRS", rng.choice([1, 3, 24]))
     monkeypatch.setattr(suffixes, "CHUNK", rng.choice([300, 1000, 1 << 22]))
@@ -208,13 +209,41 @@ def test_suffix_runs_against_brute_force(seed, monkeypatch):
             rng.choice(runs).add(t, *mark, i)
     spans = {i: [] for i in range(len(texts))}
     for group in suffixes.groups([suffixes.decoded(r.blob([(i, 0) for i in range(len(texts))])) for r in runs if r.items]):
-        for doc, lo, hi in suffixes.repeated(group):
+        for doc, lo, hi in suffixes.repeated(group, span):
             spans[doc[0]].append((lo, hi))
     got = []
     for i, t in enumerate(texts):
         kept, removed, n = suffixes.cut(t, spans[i])
         got.append((len(t), removed, n, hashlib.sha256(kept).hexdigest()))
-    assert got == brute_spans(texts)
+    assert got == brute_spans(texts, span)
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_op5_against_brute_force(spark, tmp_path, seed):
+    """The whole query, with null and empty texts, repeated rows, a null id and passages of 256 to 399 bytes."""
+    texts = [x.decode() for s in range(seed, seed + 3) for x in mixed_texts(s)]
+    rng = random.Random(seed)
+    passage = " ".join(f"word{rng.randrange(1000)}" for _ in range(40))
+    assert 256 <= len(passage) < 400
+    texts += [f"{k} before {passage} after {k}" for k in range(4)] + ["", None, "é" * 700, "x" + "é" * 650]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[4])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    data = [(t or "").encode() for _, t in rows]
+    want = sorted((-1 if i is None else i, *w, p[1]) for (i, _), w, p in zip(rows, brute_spans(data), brute_spans(data, 256), strict=True))
+    got = suffixes.op5_front_coded_suffixes(spark, str(tmp_path)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage"]) for r in got) == want
+    assert sum(r["n_passage"] > r["n_removed"] for r in got) >= 4
+
+
+def test_strip_repeats_takes_a_span(spark):
+    rng = random.Random(1)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(45))
+    docs = spark.createDataFrame([(i, f"start {i} {passage} end {i}", 0) for i in range(3)], "doc_id long, text string, n_chars long")
+    assert suffixes.strip_repeats(docs).filter(F.col("text").contains(passage)).count() == 3
+    out = suffixes.strip_repeats(docs, suffixes.PASSAGE)
+    assert out.filter(F.col("text").contains(passage[:60])).count() == 0 and out.filter(F.col("n_chars") == F.length("text")).count() == 3
+    with pytest.raises(ValueError):
+        suffixes.strip_repeats(docs, 100)
 
 
 def test_merge_never_compares_known_prefixes():
