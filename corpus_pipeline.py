@@ -10,12 +10,15 @@ from linkmosaic.llm.mixing import pivotal_copies
 from linkmosaic.llm.packing import pack_documents
 from linkmosaic.llm.quality import score_documents, train
 from linkmosaic.llm.shingles import near_copy_groups
-from linkmosaic.llm.suffixes import strip_repeats
+from linkmosaic.llm.suffixes import PASSAGE, strip_repeats
 from linkmosaic.sources.shared import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the line model rejects (score under 1/2); it learns from `labels` of what it is given."""
+    """Drops the documents that the line model rejects (score under 1/2); it learns from `labels` of what it is given.
+
+    Null and empty texts have a score like any text; equal rows have equal scores and go or stay together.
+    """
     crf = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(pack_extra(docs), crf)
     return unpack_extra(scored.filter(F.col("score") >= 0.5), docs.columns)
@@ -40,12 +43,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur elsewhere out of the texts; every document stays."""
-    return strip_repeats(docs)
+    """Cuts strings of PASSAGE bytes, some fifty words without a break, that occur elsewhere out of the texts; every document stays.
+
+    Null texts stay null, short ones as they are; rows equal in id and text repeat each other.
+    """
+    return strip_repeats(docs, PASSAGE)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it: 0 to 3 rows."""
+    """Every document as often as the mix of sources takes it: 0 to 3 rows.
+
+    Null and empty texts have size 0 and are not taken; a null source is a source of its own.
+    """
     key = F.xxhash64("doc_id", "source", "text")
     keyed = pack_extra(docs).withColumn("_key", key)
     sized = keyed.select("doc_id", "source", F.col("_key").alias("key"), F.regexp_count(text_of(), F.lit(SPACED_WORD)).cast("long").alias("size"))
@@ -63,7 +72,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all that is left, packed to sequences of 2,048."""
+    """Token pieces of all that is left, packed to sequences of 2,048; null and empty texts are a piece of one id."""
     return pack_documents(docs)
 
 
