@@ -53,7 +53,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it: 0 to 3 rows.
 
-    Null and empty texts have size 0 and are not taken; a null source is a source of its own.
+    Null and empty texts have size 0: they add no words, and are taken by an independent draw; a null source is a source of its own.
     """
     key = F.xxhash64("doc_id", "source", "text")
     keyed = pack_extra(docs).withColumn("_key", key)
