@@ -113,9 +113,10 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     Equal sets (texts without words among them) are one class from the start.  Candidates are pairs within
     3 bits by SimHash, and sets that share a band of min-hashes; every link is verified on the whole sets.
     Nobody lists the pairs of a band: in each round its sets are compared with a few centres only, one at
-    first, then MORE times as many, as long as the band lies in several components and holds sets that
-    have not been compared.  A band of near copies so costs its size; one of sets that are not alike ends
-    when all of them have been centres, so no pair is given up.
+    first, then MORE times as many.  Centres are the sets that meet most others in their bands, which an
+    original does more than its edited copies.  A centre leaves the band, as it has met all of it; a band
+    is done when those left in it are one component.  Near copies of one text so cost their number; sets
+    that share a band and are not alike are compared one by one, so no pair is given up.
     """
     spark = docs.sparkSession
     per_doc = materialize(signatures(docs), "shingles")
@@ -124,22 +125,25 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     equal = classes.join(prints, "fp").filter("set_id <> rep").select(F.col("set_id").alias("u"), F.col("rep").alias("v"))
     pairs = equal.unionByName(ball_links(materialize(prints, "shingles")))
     spread = per_doc.select("set_id", F.explode("bands").alias("key")).distinct()
-    met = spread.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a <> b").select("key")
-    near = materialize(spread.join(met.hint("merge"), "key").withColumn("part", F.col("set_id")), "shingles")
-    links, slots, none = None, 1, spark.createDataFrame([], "u long, v long")
+    met = spread.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
+    near = materialize(spread.join(met.hint("merge"), "key"), "shingles")
+    known = near.groupBy("set_id").agg(F.sum("k").alias("met"))
+    then = materialize(near.select("set_id", "key").join(known.hint("merge"), "set_id").withColumn("part", F.col("set_id")), "shingles")
+    discard(near)
+    near, links, slots, none = then, None, 1, spark.createDataFrame([], "u long, v long")
     while True:
         slot = F.pmod(F.xxhash64("set_id", F.lit(slots)), F.lit(slots))
-        centres = near.groupBy("key", slot.alias("_s")).agg(F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id", "part")).alias("c")).select("key", F.col("c.set_id").alias("centre"), F.col("c.part").alias("its"))
+        best = F.min(F.struct((-F.col("met")).alias("o"), F.xxhash64("set_id").alias("h"), "set_id", "part")).alias("c")
+        centres = near.groupBy("key", slot.alias("_s")).agg(best).select("key", F.col("c.set_id").alias("centre"), F.col("c.part").alias("its"))
         star = near.join(centres.hint("merge"), "key").filter("set_id <> centre and part <> its")
-        pairs = pairs.unionByName(star.select(F.least("set_id", "centre").alias("u"), F.greatest("set_id", "centre").alias("v")))
+        pairs = pairs.unionByName(star.select("set_id", "centre").toDF("u", "v"))
         found = _verified(docs, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes)
         links = found if links is None else links.unionByName(found)
         parts = materialize(connected_components(links, small=SMALL), "shingles")
-        # bands that still lie in several components, and hold more sets than centres
-        placed = near.drop("part").join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
-        placed = placed.join(centres.groupBy("key").agg(F.count("*").alias("n_centres")), "key")
-        open_keys = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("k"), F.max("n_centres").alias("c")).filter("a <> b and k > c").select("key")
-        then = materialize(placed.join(open_keys.hint("merge"), "key").select("set_id", "key", "part"), "shingles")
+        left = near.join(centres.select("key", F.col("centre").alias("set_id")).hint("merge"), ["key", "set_id"], "left_anti").drop("part")
+        left = left.join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
+        open_keys = left.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
+        then = materialize(left.join(open_keys.hint("merge"), "key").select(*near.columns), "shingles")
         discard(near)
         near, pairs, slots = then, none, slots * MORE
         if not near.limit(1).count():
