@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkmosaic.llm.simhash import _LOWER, _SLICE, add_bits, ball_links, majority
@@ -84,16 +84,20 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "set_id long, held array<int>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of sets, those of similarity 0.8 or more: they share 4/9 of their sizes' sum.
+def _may_be_alike(n_a: Column, p_a: Column, n_b: Column, p_b: Column) -> Column:
+    """False only where two sets can't have similarity 0.8, by their sizes and parity bits.
 
-    Bits of parity that differ are at most the shingles that differ, of which 0.8 allows a ninth of the
-    sizes' sum: that spares most pairs their whole sets.
+    Bits that differ are at most the shingles that differ, of which 0.8 allows a ninth of the sizes' sum.
     """
+    differ = sum((F.bit_count(p_a[k].bitwiseXOR(p_b[k])) for k in range(_BITS // 64)), F.lit(0))
+    return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * differ <= n_a + n_b)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of sets, those of similarity 0.8 or more: they share 4/9 of their sizes' sum."""
     left, right = (classes.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")) for k in "uv")
-    sized = F.expr("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
-    alike = F.expr("9 * aggregate(zip_with(p_u, p_v, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= n_u + n_v")
-    pairs = materialize(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").filter(sized & alike).select("u", "v"), "shingles")
+    alike = _may_be_alike(F.col("n_u"), F.col("p_u"), F.col("n_v"), F.col("p_v"))
+    pairs = materialize(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").filter(alike).select("u", "v"), "shingles")
     ids = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
     wanted = classes.join(ids, "set_id", "left_semi").select("doc_id").distinct()
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -116,7 +120,8 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     first, then MORE times as many.  Centres are the sets that meet most others in their bands, which an
     original does more than its edited copies.  A centre leaves the band, as it has met all of it; a band
     is done when those left in it are one component.  Near copies of one text so cost their number; sets
-    that share a band and are not alike are compared one by one, so no pair is given up.
+    that share a band and are not alike are compared one by one, by sketches inside the join, so no pair
+    is given up and few are written.
     """
     spark = docs.sparkSession
     per_doc = materialize(signatures(docs), "shingles")
@@ -127,20 +132,22 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     spread = per_doc.select("set_id", F.explode("bands").alias("key")).distinct()
     met = spread.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
     near = materialize(spread.join(met.hint("merge"), "key"), "shingles")
-    known = near.groupBy("set_id").agg(F.sum("k").alias("met"))
+    known = near.groupBy("set_id").agg(F.sum("k").alias("met")).join(classes.select("set_id", "n", "parity"), "set_id")
     then = materialize(near.select("set_id", "key").join(known.hint("merge"), "set_id").withColumn("part", F.col("set_id")), "shingles")
     discard(near)
     near, links, slots, none = then, None, 1, spark.createDataFrame([], "u long, v long")
     while True:
         slot = F.pmod(F.xxhash64("set_id", F.lit(slots)), F.lit(slots))
-        best = F.min(F.struct((-F.col("met")).alias("o"), F.xxhash64("set_id").alias("h"), "set_id", "part")).alias("c")
-        centres = near.groupBy("key", slot.alias("_s")).agg(best).select("key", F.col("c.set_id").alias("centre"), F.col("c.part").alias("its"))
-        star = near.join(centres.hint("merge"), "key").filter("set_id <> centre and part <> its")
+        best = F.min(F.struct((-F.col("met")).alias("o"), F.xxhash64("set_id").alias("h"), "set_id", "part", "n", "parity")).alias("c")
+        centres = near.groupBy("key", slot.alias("_s")).agg(best).select(F.col("key").alias("at"), F.col("c.set_id").alias("centre"), F.col("c.part").alias("its"), F.col("c.n").alias("n_c"), F.col("c.parity").alias("p_c"))
+        # the sketches decide inside the join: only pairs that may be alike come out of it
+        meet = (F.col("key") == F.col("at")) & (F.col("set_id") != F.col("centre")) & (F.col("part") != F.col("its"))
+        star = near.join(centres.hint("merge"), meet & _may_be_alike(F.col("n"), F.col("parity"), F.col("n_c"), F.col("p_c")))
         pairs = pairs.unionByName(star.select("set_id", "centre").toDF("u", "v"))
         found = _verified(docs, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes)
         links = found if links is None else links.unionByName(found)
         parts = materialize(connected_components(links, small=SMALL), "shingles")
-        left = near.join(centres.select("key", F.col("centre").alias("set_id")).hint("merge"), ["key", "set_id"], "left_anti").drop("part")
+        left = near.join(centres.select(F.col("at").alias("key"), F.col("centre").alias("set_id")).hint("merge"), ["key", "set_id"], "left_anti").drop("part")
         left = left.join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id")).drop("component")
         open_keys = left.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
         then = materialize(left.join(open_keys.hint("merge"), "key").select(*near.columns), "shingles")
