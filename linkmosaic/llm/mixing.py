@@ -84,17 +84,36 @@ def _pivot(units: Column, level: int, seed: int) -> Column:
     return F.aggregate(rest, first, step, lambda s: F.array_append(s["done"], F.struct(s["i"].alias("i"), s["p"].alias("p")).cast(entry)))
 
 
+def _settle_rest(rows: DataFrame, cap: float, seed: int) -> DataFrame:
+    """Rows (source, size, uid, target, copies, ...) with the words that a source is off its target given to or taken from light rows.
+
+    What pivoting leaves is half of a heavy row's words at most.  Of the rows no heavier than that, FAN_IN
+    drawn by hash are gone through from the heaviest on, and those that fit change by one copy.
+    """
+    off = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")).withColumnRenamed("source", "of")
+    near = rows.join(off, F.col("source").eqNullSafe(F.col("of"))).filter((F.col("size") > 0) & (F.col("size") <= F.abs("off")))
+    near = near.filter(F.when(F.col("off") > 0, F.col("copies") < math.floor(cap)).otherwise(F.col("copies") > 0))
+    drawn = Window.partitionBy("source").orderBy(F.xxhash64("key", F.lit(seed + 1)), "uid")
+    few = near.withColumn("_k", F.row_number().over(drawn)).filter(F.col("_k") <= FAN_IN)
+    lots = few.groupBy("source").agg(F.max("off").alias("off"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "uid"))).alias("units"))
+    first = F.struct(F.abs("off").alias("left"), F.array().cast("array<long>").alias("took"))
+    fill = lambda s, x: F.when(-x["o"] <= s["left"], F.struct((s["left"] + x["o"]).alias("left"), F.array_append(s["took"], x["uid"]).alias("took"))).otherwise(s)
+    change = lots.select(F.explode(F.aggregate("units", first, fill)["took"]).alias("uid"), F.signum("off").cast("int").alias("more"))
+    return rows.join(change, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+
+
 def pivotal_copies(df: DataFrame, carry: list[str], seed: int = 7, cap: float = 3.0, share: float = 1.0, weights: tuple = WEIGHTS) -> DataFrame:
     """Rows (source, size, key, *carry) -> the rows with source_size, target, copies (carry must not name the others).
 
     A row has the expectation rate = target / source_size of copies: its whole part for certain, the
     rest p by dependent rounding.  Rows of one source are hashed to groups of about FAN_IN; a group
     pairs its units and leaves one fractional unit; the left-over units of FAN_IN groups meet at the
-    next level, until each source has one, which is rounded to the nearer integer.  So the words
-    taken differ from the target by half a document's words at most.  No group grows with the data.
+    next level, until each source has one, which is rounded to the nearer integer.  The words that it
+    is off its target are then carried to light rows.  No group grows with the data.
 
     Rows of no words take the whole part and an independent draw.  Null sources are a source of their
-    own.  Repeated rows are units of their own.  Draws are hashes of the row, so reruns agree.
+    own.  Repeated rows are units of their own.  Draws are hashes of the row, so reruns agree.  No rows:
+    no rows.
     """
     targets = source_targets(df.select("source", "size"), share, weights, cap)
     joined = df.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
@@ -108,10 +127,10 @@ def pivotal_copies(df: DataFrame, carry: list[str], seed: int = 7, cap: float =
     drawn = F.when(loose, (unit(F.col("key"), F.lit(seed)) < F.col("p")).cast("double")).otherwise(F.col("p"))
     groups = F.ceil(F.col("n_docs") / FAN_IN).cast("long")
     state = materialize(
-        base.withColumn("open", ~loose).withColumn("p", drawn).withColumn("g", F.pmod(F.xxhash64("key", F.lit(seed)), groups)), "mix"
+        base.withColumn("uid", F.monotonically_increasing_id()).withColumn("open", ~loose).withColumn("p", drawn).withColumn("g", F.pmod(F.xxhash64("key", F.lit(seed)), groups)), "mix"
     )
     most = state.agg(F.max("n_docs")).first()[0] or 0
-    cols = ["source", "size", "key", *carry, "source_size", "target", "n_docs", "whole", "w", "g"]
+    cols = ["uid", "source", "size", "key", *carry, "source_size", "target", "n_docs", "whole", "w", "g"]
     settled = state.filter(~F.col("open")).select(*cols, "p")
     left, level = state.filter("open"), 0
     groups_left = math.ceil(most / FAN_IN)
@@ -126,7 +145,8 @@ def pivotal_copies(df: DataFrame, carry: list[str], seed: int = 7, cap: float =
         settled = settled.unionByName(out.filter(~fractional))
         left = out.filter(fractional).withColumn("g", F.floor(F.col("g") / FAN_IN).cast("long"))
         groups_left, level = math.ceil(groups_left / FAN_IN), level + 1
-    return settled.select("source", "size", "key", *carry, "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    rounded = materialize(settled.select("uid", "source", "size", "key", *carry, "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies")), "mix")
+    return _settle_rest(rounded, cap, seed).select("source", "size", "key", *carry, "source_size", "target", "copies")
 
 
 def mix_documents(df: DataFrame, seed: int = 7) -> DataFrame:

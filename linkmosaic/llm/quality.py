@@ -7,14 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmosaic.llm.common import table
+from linkmosaic.sources.shared import discard, materialize
 
 TRAIN_DOCS = 4_000  # documents learnt from, at most
-TRAIN_LINES = 512  # lines of one of them learnt from, at most: its text is thinned evenly, for learning only
+TRAIN_LINES = 200_000  # lines of all of them together, at most; one of over an eighth of that is not learnt from
 N_OWN = 12  # features of one line
 
 
@@ -168,12 +169,21 @@ def held_out(doc_id: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed: int = 0) -> LineCrf:
     """Fits on at most `most` labelled documents that are not held out, those with the smallest hash of doc_id.
 
-    The executors make the features; the driver gets at most most * TRAIN_LINES lines of them.
+    Whole texts are learnt from, in the order of the hashes as long as they have TRAIN_LINES lines together.
+    The executors make the features; the driver gets those of at most so many lines.  No labels: a model
+    that gives every text 1/2.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows_held = materialize(rows.withColumn("_lines", lines), "train")
+    short = rows_held.filter(F.col("_lines") <= TRAIN_LINES // 8).groupBy("doc_id").agg(F.sum("_lines").alias("n"))
+    # one row for each of at most `most` documents
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
+    fits = short.withColumn("so_far", so_far).filter(F.col("so_far") <= TRAIN_LINES).select("doc_id")
+    rows = rows_held.join(F.broadcast(fits), "doc_id")
 
     def features(batches):
         for b in batches:
@@ -181,14 +191,14 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, seed:
             for q, text in zip(b["quality"], b["text"], strict=True):
                 x, sizes = line_features(text)
                 x = with_neighbours(x)
-                keep = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_LINES)).astype(int))
-                out.append((int(q), x[keep].astype("<f4").tobytes(), sizes[keep].astype("<i8").tobytes()))
+                out.append((int(q), x.astype("<f4").tobytes(), sizes.astype("<i8").tobytes()))
             yield pd.DataFrame(out, columns=["quality", "x", "sizes"])
 
     got = rows.mapInPandas(features, "quality int, x binary, sizes binary").toPandas()
     seqs = [np.frombuffer(x, "<f4").reshape(-1, 3 * N_OWN + 3).astype(float) for x in got["x"]]
     sizes = [np.frombuffer(s, "<i8") for s in got["sizes"]]
     y = (got["quality"].to_numpy() > 0).astype(int)
+    discard(rows_held)
     crf = fit(seqs, y)
     if seqs:
         odds = np.array([document_odds(g, s) for g, s in zip(crf.marginals(seqs)[0], sizes, strict=True)])
@@ -227,4 +237,5 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See score_documents and train; no documents: no rows."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -400,13 +400,27 @@ def test_mixing_meets_targets(spark, odd, none):
     for r in out:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
-    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+    # a source that is one large document and little else can't do better than that document or none
+    allowed = {s: largest[s] / 2 if sizes[s] < 2 * largest[s] else max(1, 0.01 * want[s]) for s in sizes}
+    assert not {s: (taken[s], want[s]) for s in sizes if abs(taken[s] - want[s]) > allowed[s]}
     again = mixing.mix_documents(documents(spark, rows[::-1]).repartition(7)).collect()
     key = lambda r: (r["doc_id"], r["size"], r["copies"])
     assert sorted(map(key, again)) == sorted(map(key, out))
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_a_heavy_document_does_not_spoil_its_source(spark):
+    rows = [(i, words(5 + i % 30, i), f"s{i % 3}") for i in range(300)] + [(1000 + k, words(900 + k, k), f"s{k}") for k in range(3)]
+    for seed in range(3):
+        taken, target = Counter(), {}
+        for r in mixing.mix_documents(documents(spark, rows), seed).collect():
+            k = r["doc_id"] % 1000 % 3 if r["doc_id"] < 1000 else r["doc_id"] - 1000
+            assert 0 <= r["copies"] <= 3
+            taken[k] += r["size"] * r["copies"]
+            target[k] = r["target"]
+        assert all(abs(taken[k] - target[k]) <= 0.01 * target[k] for k in target)
+
+
 def test_rounding_keeps_expectations(spark):
     docs = documents(spark, [(i, "w " * (1 + i % 7), "b" if i % 2 else "a") for i in range(60)]).persist()
     totals = Counter()
