@@ -95,7 +95,7 @@ def _settle_rest(rows: DataFrame, cap: float, seed: int) -> DataFrame:
     near = near.filter(F.when(F.col("off") > 0, F.col("copies") < math.floor(cap)).otherwise(F.col("copies") > 0))
     drawn = Window.partitionBy("source").orderBy(F.xxhash64("key", F.lit(seed + 1)), "uid")
     few = near.withColumn("_k", F.row_number().over(drawn)).filter(F.col("_k") <= FAN_IN)
-    lots = few.groupBy("source").agg(F.max("off").alias("off"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "uid"))).alias("units"))
+    lots = few.groupBy("source").agg(F.max("off").alias("off"), F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), "key", "uid"))).alias("units"))
     first = F.struct(F.abs("off").alias("left"), F.array().cast("array<long>").alias("took"))
     fill = lambda s, x: F.when(-x["o"] <= s["left"], F.struct((s["left"] + x["o"]).alias("left"), F.array_append(s["took"], x["uid"]).alias("took"))).otherwise(s)
     change = lots.select(F.explode(F.aggregate("units", first, fill)["took"]).alias("uid"), F.signum("off").cast("int").alias("more"))
@@ -130,7 +130,8 @@ def pivotal_copies(df: DataFrame, carry: list[str], seed: int = 7, cap: float =
         base.withColumn("uid", F.monotonically_increasing_id()).withColumn("open", ~loose).withColumn("p", drawn).withColumn("g", F.pmod(F.xxhash64("key", F.lit(seed)), groups)), "mix"
     )
     most = state.agg(F.max("n_docs")).first()[0] or 0
-    cols = ["uid", "source", "size", "key", *carry, "source_size", "target", "n_docs", "whole", "w", "g"]
+    # uid comes last: it tells equal rows apart, and must not order others
+    cols = ["source", "size", "key", *carry, "source_size", "target", "n_docs", "whole", "w", "g", "uid"]
     settled = state.filter(~F.col("open")).select(*cols, "p")
     left, level = state.filter("open"), 0
     groups_left = math.ceil(most / FAN_IN)
