@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkmosaic.errors import InputError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
+    """Folder of spark.checkpoint.dir; where it is unset and all runs in one process (tests), one of our own is set.
+
+    On a cluster executors do not share a local folder: there the setting is needed.
+    """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise InputError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="linkmosaic-")
     spark.sparkContext.setCheckpointDir(own)
     return own
