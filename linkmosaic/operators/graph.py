@@ -184,8 +184,10 @@ def failure_probability(vertices: DataFrame, edges: DataFrame, k: int = 1, itera
     low, high = vertices.agg(F.min("id"), F.max("id")).first()
     span = high - low + 1
     trials = spark.range(iterations).select(F.col("id").alias("trial"))
-    drawn = F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64("trial", "u", "v", "_n", F.lit(seed))))
-    numbered = edges.select("u", "v").withColumn("_n", F.monotonically_increasing_id())
+    drawn = F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64("trial", "u", "v", "_n", F.lit(seed)), "u", "v", "_n"))
+    # equal edges are numbered, so that draws do not depend on partitions
+    alike = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("k"))
+    numbered = alike.select("u", "v", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("_n"))
     copies = numbered.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
     kept = copies.withColumn("_d", drawn).filter(F.col("_d") > k)
     at = lambda c: F.col("trial") * span + F.col(c) - low

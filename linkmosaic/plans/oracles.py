@@ -29,10 +29,6 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "nodes": ((), "select n_nationkey::bigint as id, (select count(*) from customer where c_nationkey = n_nationkey)::double as weight from nation"),
     "trade": ((), "select least(s_nationkey, c_nationkey)::bigint as u, greatest(s_nationkey, c_nationkey)::bigint as v, count(*) as cost from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey group by 1, 2"),
     "edges": (("nodes", "trade"), "select u, v, cost, row_number() over (order by u, v) as id from trade"),
-    "few": (("edges",), "select * from edges order by cost, id limit 30"),
-    "fewboth": (("few",), "select u as a, v as b, cost from few union all select v, u, cost from few"),
-    "fewreach": (("fewboth",), "select id, id as root from nodes union select fewboth.b, fewreach.root from fewreach join fewboth on fewboth.a = fewreach.id where fewreach.root < fewboth.b"),
-    "parts": (("fewreach",), "select id, min(root) as root from fewreach group by id"),
     # an edge is in the forest if its ends are not connected by edges before it
     "ranked": (("edges",), "select *, row_number() over (order by cost, id) as k from edges"),
     "rankedboth": (("ranked",), "select u as a, v as b, k from ranked union all select v, u, k from ranked"),
@@ -40,11 +36,6 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "forest": (("before",), "select r.* from ranked r where not exists (select 1 from before b where b.k = r.k and b.at = r.v)"),
     "treeboth": (("forest",), "select u as a, v as b from forest union all select v, u from forest"),
     "hops": (("treeboth",), "select id as s, id as t, 0 as d from nodes union select h.s, e.b, h.d + 1 from hops h join treeboth e on e.a = h.t where h.d < 24"),
-    "without": (("few", "fewboth"), "select f.id as k, f.u as at from few f union select w.k, e.b from without w join few f on f.id = w.k join fewboth e on e.a = w.at where not (least(e.a, e.b) = f.u and greatest(e.a, e.b) = f.v)"),
-    "bridges": (("without",), "select f.* from few f where not exists (select 1 from without w where w.k = f.id and w.at = f.v)"),
-    "firm": (("bridges",), "select u as a, v as b from few where id not in (select id from bridges) union all select v, u from few where id not in (select id from bridges)"),
-    "blocks": (("firm",), "select id, id as root from nodes union select firm.b, blocks.root from blocks join firm on firm.a = blocks.id where blocks.root < firm.b"),
-    "walks": (("fewboth", "parts"), "select id as s, id as t, 0::bigint as d, 0 as n from nodes union select w.s, e.b, w.d + e.cost, w.n + 1 from walks w join fewboth e on e.a = w.t where w.n < 3 and e.b <> w.s"),
     "budget": (("edges",), "select cast(trunc(sum(cost) / 10) as bigint) as b from edges"),
     "main": (("forest", "budget"), "select u, v, id, cost from (select *, sum(cost) over (order by cost, id) as spent from forest), budget where spent <= b"),
     "mainboth": (("main",), "select u as a, v as b from main union all select v, u from main"),
@@ -52,7 +43,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "mainparts": (("mainreach",), "select id, min(root) as root from mainreach group by id"),
     "loops": (("mainparts",), "select e.*, row_number() over (partition by p.root order by cost, e.id) as j from edges e join mainparts p on p.id = e.u join mainparts q on q.id = e.v and q.root = p.root, budget where e.cost <= b * 0.05 and e.id not in (select id from main)"),
     "chosen": (("loops",), "select id, u, v, cost, 'tree' as kind from main union all select id, u, v, cost, 'loop' from (select *, sum(cost) over (order by cost, id) as spent from loops where j <= 2), budget where spent + (select sum(cost) from main) <= b"),
-    "sides": (("few",), "select *, row_number() over (partition by mid order by roi desc, id) as k from (select u as mid, v as far, f.id, cost, sqrt(x.weight * y.weight) / cost as roi from few f join nodes x on x.id = u join nodes y on y.id = v union all select v, u, f.id, cost, sqrt(x.weight * y.weight) / cost from few f join nodes x on x.id = u join nodes y on y.id = v)"),
+    # the graph of the metrics: what is chosen from all edges
+    "few": (("chosen",), "select u, v, id, cost from chosen"),
+    "fewboth": (("few",), "select u as a, v as b, cost from few union all select v, u, cost from few"),
+    "fewreach": (("fewboth",), "select id, id as root from nodes union select fewboth.b, fewreach.root from fewreach join fewboth on fewboth.a = fewreach.id where fewreach.root < fewboth.b"),
+    "parts": (("fewreach",), "select id, min(root) as root from fewreach group by id"),
+    "without": (("few", "fewboth"), "select f.id as k, f.u as at from few f union select w.k, e.b from without w join few f on f.id = w.k join fewboth e on e.a = w.at where not (least(e.a, e.b) = f.u and greatest(e.a, e.b) = f.v)"),
+    "bridges": (("without",), "select f.* from few f where not exists (select 1 from without w where w.k = f.id and w.at = f.v)"),
+    "firm": (("bridges",), "select u as a, v as b from few where id not in (select id from bridges) union all select v, u from few where id not in (select id from bridges)"),
+    "blocks": (("firm",), "select id, id as root from nodes union select firm.b, blocks.root from blocks join firm on firm.a = blocks.id where blocks.root < firm.b"),
+    # no path between neighbours costs more than the dearest edge
+    "walks": (("fewboth",), "select id as s, id as t, 0::bigint as d from nodes union select w.s, e.b, w.d + e.cost from walks w join fewboth e on e.a = w.t where e.b <> w.s and w.d + e.cost <= (select max(cost) from few)"),
+    "fewhops": (("fewboth",), "select id as s, id as t, 0 as d from nodes union select h.s, e.b, h.d + 1 from fewhops h join fewboth e on e.a = h.t where h.d < 24"),
+    "sides": (("edges",), "select *, row_number() over (partition by mid order by roi desc, id) as k from (select u as mid, v as far, f.id, cost, sqrt(x.weight * y.weight) / cost as roi from edges f join nodes x on x.id = u join nodes y on y.id = v union all select v, u, f.id, cost, sqrt(x.weight * y.weight) / cost from edges f join nodes x on x.id = u join nodes y on y.id = v)"),
     "roi": (("edges",), "select e.id, u, v, cost, row_number() over (order by sqrt(x.weight * y.weight) / cost desc, e.id) as k from edges e join nodes x on x.id = u join nodes y on y.id = v"),
     "scan": (
         ("roi",),

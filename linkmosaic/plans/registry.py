@@ -268,9 +268,22 @@ def polygon_metrics(spark, sf_dir):
 # ---------------------------------------------------------------- graphs
 
 
+def network(spark, sf_dir):
+    """The nodes, and the network that is chosen from all edges between nations under a tenth of their cost."""
+    nodes, edges = fixtures.nation_graph(spark, sf_dir)
+    budget = edges.agg(F.expr("cast(sum(cost) / 10 as bigint)")).first()[0]
+    return nodes, selection.largest_network(nodes, edges, float(budget), 0.05, 2)
+
+
+def chosen_graph(spark, sf_dir):
+    """(nodes(id, weight), edges(u, v, id, cost, weight)) of that network."""
+    nodes, found = network(spark, sf_dir)
+    return nodes, found["selected"].select("u", "v", "id", "cost", F.col("cost").cast("double").alias("weight"))
+
+
 def sparse(spark, sf_dir):
-    nodes, edges = fixtures.nation_graph(spark, sf_dir, keep=30)
-    return nodes.select("id"), edges.withColumn("weight", F.col("cost").cast("double"))
+    nodes, edges = chosen_graph(spark, sf_dir)
+    return nodes.select("id"), edges
 
 
 @query(sql("select id, count(e.u) as degree, coalesce(sum(e.cost), 0)::bigint as weight from nodes left join (select u as i, u, cost from edges union all select v, u, cost from edges) e on e.i = id group by id", "edges"))
@@ -304,7 +317,7 @@ def disturbance_penalty(spark, sf_dir):
     return rounded(graph.disturbance_penalty(nodes.select("id"), selection.spanning_forest(edges)), "penalty")
 
 
-@query(sql(f"select round(h, 6) as h_mov, components::double as c, f, 1.0::double as d, round(h + components - 1 + f + 1, 6) as h_total from (select components, greatest(0, edges - (vertices - components))::double as f from {TOPOLOGY}), {ENTROPY.format(e='few')}", "parts"))
+@query(sql(f"select round(h, 6) as h_mov, components::double as c, f, d, round(h + components - 1 + f + d, 6) as h_total from (select components, greatest(0, edges - (vertices - components))::double as f from {TOPOLOGY}), (select case when (select count(distinct root) from parts) > 1 then 1.0 else max(d) / 25 end::double as d from (select s, t, min(d) as d from fewhops group by s, t)), {ENTROPY.format(e='few')}", "parts", "fewhops"))
 def total_entropy(spark, sf_dir):
     return rounded(graph.total_entropy(*sparse(spark, sf_dir)), "h_mov", "h_total")
 
@@ -332,19 +345,19 @@ def loop_score(spark, sf_dir):
 
 @query(sql("select f.id, f.cost, (select sum(weight) from parts p join nodes using (id) where p.root = q.root) + (select sum(g.cost) from few g join parts p on p.id = g.u where p.root = q.root) as connected_size from few f join parts q on q.id = f.u", "parts"))
 def connected_sizes(spark, sf_dir):
-    nodes, edges = fixtures.nation_graph(spark, sf_dir, keep=30)
+    nodes, edges = chosen_graph(spark, sf_dir)
     chosen = edges.select("id", F.col("u").alias("patch1"), F.col("v").alias("patch2"), "cost")
     return graph.connected_sizes(chosen, nodes.select(F.col("id").alias("patch_id"), F.col("weight").alias("cell_count"))).select("id", "cost", "connected_size")
 
 
 @query(sql("select root as component, sum(weight) as size, count(*) as count from parts join nodes using (id) group by root", "parts"))
 def component_sizes(spark, sf_dir):
-    return graph.component_sizes(*fixtures.nation_graph(spark, sf_dir, keep=30))
+    return graph.component_sizes(*chosen_graph(spark, sf_dir))
 
 
 @query(sql("select f.id, dense_rank() over (order by p.root) as component_id, w.s as connected_area, round(w.s / greatest(f.cost, 1e-6), 6) as efficiency, false as multipart from few f join parts p on p.id = f.u join (select root, sum(weight) as s from parts join nodes using (id) group by root) w on w.root = p.root", "parts"))
 def vector_components(spark, sf_dir):
-    nodes, edges = fixtures.nation_graph(spark, sf_dir, keep=30)
+    nodes, edges = chosen_graph(spark, sf_dir)
     chosen = edges.select("id", F.array("u", "v").alias("patch_ids"), F.col("cost").cast("double").alias("area"))
     out = graph.vector_components(chosen, nodes.select(F.col("id").alias("patch_id"), F.col("weight").alias("area")))
     return rounded(out, "efficiency").select("id", "component_id", "connected_area", "efficiency", "multipart")
@@ -371,20 +384,14 @@ def spanning_forest_rounds(spark, sf_dir):
     return selection.spanning_forest(edges, small=0)
 
 
-def network(spark, sf_dir):
-    nodes, edges = fixtures.nation_graph(spark, sf_dir)
-    budget = edges.agg(F.expr("cast(sum(cost) / 10 as bigint)")).first()[0]
-    return selection.largest_network(nodes, edges, float(budget), 0.05, 2)
-
-
 @query(sql("select id, u, v, cost, kind from chosen", "chosen"))
 def largest_network(spark, sf_dir):
-    return network(spark, sf_dir)["selected"].select("id", "u", "v", "cost", "kind")
+    return network(spark, sf_dir)[1]["selected"].select("id", "u", "v", "cost", "kind")
 
 
 @query(sql("select root as component, sum(weight) as size, count(*) as count from (select id, min(root) as root from mainreach group by id) join nodes using (id) group by root", "mainreach"))
 def component_report(spark, sf_dir):
-    return network(spark, sf_dir)["components"]
+    return network(spark, sf_dir)[1]["components"]
 
 
 @query(sql("select least(a, b) as patch1, greatest(a, b) as patch2, min(id) as id from (select id, u % 5 as a, v % 5 as b from edges) where a <> b group by 1, 2", "edges"))
@@ -394,9 +401,9 @@ def pair_dedup(spark, sf_dir):
     return selection.one_per_pair(c).select(F.least("patch1", "patch2").alias("patch1"), F.greatest("patch1", "patch2").alias("patch2"), "id")
 
 
-def nation_candidates(spark, sf_dir, keep: int | None = None):
+def nation_candidates(spark, sf_dir):
     """The nation graph as candidates with integer costs and ROI = sqrt(w_u w_v) / cost."""
-    nodes, edges = fixtures.nation_graph(spark, sf_dir, keep)
+    nodes, edges = fixtures.nation_graph(spark, sf_dir)
     a = nodes.select(F.col("id").alias("u"), F.col("weight").alias("wu"))
     b = nodes.select(F.col("id").alias("v"), F.col("weight").alias("wv"))
     cost = F.col("cost").cast("double")
@@ -406,7 +413,7 @@ def nation_candidates(spark, sf_dir, keep: int | None = None):
 
 @query(sql("select a.mid, least(a.id, b.id) as id1, greatest(a.id, b.id) as id2, (a.cost + b.cost)::double as cost, round(sqrt(x.weight * y.weight) / (a.cost + b.cost), 6) as score from sides a join sides b on a.mid = b.mid and a.id < b.id and a.far <> b.far join nodes x on x.id = a.far join nodes y on y.id = b.far where a.k <= 25 and b.k <= 25 and a.cost + b.cost <= 1000000", "sides"))
 def bridge_pairs(spark, sf_dir):
-    patches, c = nation_candidates(spark, sf_dir, 30)
+    patches, c = nation_candidates(spark, sf_dir)
     return rounded(selection.bridge_pairs(c, patches, 1_000_000.0), "score").select("mid", "id1", "id2", "cost", "score")
 
 

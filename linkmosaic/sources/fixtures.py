@@ -29,8 +29,8 @@ def raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, RasterMeta]:
     return cells, RasterMeta(nrow=-(-n // WIDTH), ncol=WIDTH)
 
 
-def nation_graph(spark: SparkSession, sf_dir: str, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes(id, weight), edges(u, v, id, cost)) of trade between nations; keep: only so many cheapest edges."""
+def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, weight), edges(u, v, id, cost)) of trade between nations."""
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -45,8 +45,6 @@ def nation_graph(spark: SparkSession, sf_dir: str, keep: int | None = None) -> t
         F.least("s_nationkey", "c_nationkey").cast("long").alias("u"), F.greatest("s_nationkey", "c_nationkey").cast("long").alias("v")
     ).agg(F.count("*").alias("cost"))
     edges = edges.withColumn("id", F.row_number().over(Window.orderBy("u", "v")).cast("long"))
-    if keep is not None:
-        edges = edges.orderBy("cost", "id").limit(keep)
     nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     weights = customer.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").cast("double").alias("weight"))
     return nodes.join(weights, "id", "left").fillna(0.0, ["weight"]), edges

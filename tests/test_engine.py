@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from linkmosaic.errors import InputError
-from linkmosaic.operators import selection
+from linkmosaic.operators import graph, selection
 from linkmosaic.operators.selection import Groups, NetworkOptimizer, circuit_utility
 from linkmosaic.sources.schema import RasterMeta
 
@@ -150,3 +150,24 @@ def test_thicken_ends_with_the_first_step_that_does_not_fit(spark):
 def test_unknown_strategy():
     with pytest.raises(InputError):
         selection.choose("none")
+
+
+def test_failures_do_not_depend_on_partitions_and_match_enumeration(spark):
+    # two triangles joined by one edge, an edge that is there twice, and a vertex alone
+    links = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (3, 5), (5, 6), (6, 5)]
+    nodes = spark.createDataFrame([(i,) for i in range(8)], "id long")
+    edges = spark.createDataFrame(links, "u long, v long")
+    assert graph.failure_probability(nodes, edges).first()[0] == pytest.approx(1 / 9)
+    assert graph.two_edge_connectivity(nodes, edges).first()[0] == pytest.approx((3 + 6) / 28)
+    chance = [graph.failure_probability(nodes, e, k=2, iterations=400, seed=7).first()[0] for e in (edges, edges.orderBy("v").repartition(5))]
+    assert chance[0] == chance[1]
+
+    def parts(kept):
+        groups = Groups()
+        for u, v in kept:
+            groups.union(u, v)
+        return len({groups.find(i) for i in range(7)})
+
+    pairs = [(i, j) for i in range(9) for j in range(i)]
+    parted = sum(parts([e for n, e in enumerate(links) if n not in p]) > 1 for p in pairs)
+    assert chance[0] == pytest.approx(parted / len(pairs), abs=0.08)
