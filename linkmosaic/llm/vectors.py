@@ -35,14 +35,19 @@ def _pack(arrays, dim: int) -> np.ndarray:
 
 
 def _spread(sample: np.ndarray, n: int) -> np.ndarray:
-    """Up to n rows of the sample, each as far as can be from those before."""
+    """Up to n rows of the sample, each farthest from the span of those before; rows that lie nearly in it are left out."""
     if not len(sample):
-        return sample
-    picked = [0]
-    near = np.linalg.norm(sample - sample[0], axis=1)
-    while len(picked) < min(n, len(sample)):
-        picked.append(int(near.argmax()))
-        near = np.minimum(near, np.linalg.norm(sample - sample[picked[-1]], axis=1))
+        return np.zeros((1, sample.shape[1]))
+    picked, rest, least = [0], sample - sample[0], None
+    while len(picked) < n:
+        size = (rest * rest).sum(1)
+        j = int(size.argmax())
+        least = 1e-4 * size[j] if least is None else least
+        if not np.isfinite(size[j]) or size[j] <= least:
+            break
+        u = rest[j] / np.sqrt(size[j])
+        picked.append(j)
+        rest = rest - np.outer(rest @ u, u)
     return sample[picked]
 
 
@@ -56,62 +61,76 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _block_top(q_ids, q, q_far, v_ids, v, v_far, k: int):
-    """Best k of the block for each query: candidates by falling upper bound until no bound can reach the k-th score.
+class PivotTable:
+    """Bounds on inner products from distances to pivots.
 
-    With d(q, v) >= max over pivots |d(q, p) - d(v, p)|, <q, v> <= (|q|^2 + |v|^2 - d^2) / 2.
-    Where the bounds leave most of the block, the rest of it is evaluated at once.
+    With p pivots their distances fix where a vector stands in the pivots' span (p - 1 coordinates c from the first
+    pivot) and how far it is from that span (h), so d(q, v)^2 >= |c_q - c_v|^2 + (h_q - h_v)^2.  That is the greatest
+    lower bound which the distances allow, and no less than |d(q, x) - d(v, x)| for any pivot x.  `err` covers rounding.
+    """
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots = pivots
+        away = pivots[1:] - pivots[0]
+        self.sizes = (away * away).sum(1)
+        self.inverse = np.linalg.inv(np.linalg.qr(away.T)[1]) if len(away) else np.zeros((0, 0))
+        self.stretch = np.linalg.norm(self.inverse, 2) if len(away) else 0.0
+
+    def distances(self, m: np.ndarray) -> np.ndarray:
+        return np.stack([np.linalg.norm(m - p, axis=1) for p in self.pivots], axis=1)
+
+    def places(self, far: np.ndarray, err: float) -> tuple[np.ndarray, np.ndarray]:
+        sq = far * far
+        c = (sq[:, :1] + self.sizes - sq[:, 1:]) / 2 @ self.inverse
+        return c, np.sqrt(np.maximum(0, sq[:, 0] - (c * c).sum(1)) + err)
+
+    def bounds(self, q_sq, q_far, v_sq, v_far) -> np.ndarray:
+        """Upper bounds of <q, v>: (|q|^2 + |v|^2 - d^2) / 2 with the least d; infinite where numbers are too large, never below a long."""
+        with np.errstate(all="ignore"):
+            top = max(q_far.max(initial=0), v_far.max(initial=0), self.sizes.max(initial=0) ** 0.5)
+            err = 16 * len(self.pivots) * np.finfo(float).eps * top**2 * (1 + self.stretch * top)
+            (qc, qh), (vc, vh) = self.places(q_far, err), self.places(v_far, err)
+            sums = q_sq[:, None] + v_sq[None, :]
+            apart = (sums - (q_far[:, 0] ** 2)[:, None] - (v_far[:, 0] ** 2)[None, :]) / 2
+            bound = apart + qc @ vc.T + np.outer(qh, vh) + err + 1e-9 * sums + 1e-6
+        return np.where(np.isfinite(bound), np.maximum(bound, -(2.0**63)), np.inf)
+
+
+def _kth(score: np.ndarray, k: int):
+    return np.partition(score, len(score) - k)[len(score) - k]
+
+
+def _block_top(q_ids, q, q_far, q_least, v_ids, v, v_far, k: int, pivots: PivotTable):
+    """Best k of the block for each query: candidates by falling upper bound until none can reach the k-th score so far.
+
+    The k-th score starts at q_least, which k rows elsewhere reach; every score that reaches the k-th is looked at, ties too.
     """
     q_sq, v_sq = (q * q).sum(1), (v * v).sum(1)
-    first = min(len(v), max(4 * k, 128))
     for lo in range(0, len(q), 64):
         part = slice(lo, lo + 64)
-        gap = np.zeros((len(q[part]), len(v)))
-        for a, b in zip(q_far[part].T, v_far.T, strict=True):
-            np.maximum(gap, np.abs(a[:, None] - b[None, :]), out=gap)
-        sums = q_sq[part][:, None] + v_sq[None, :]
-        bound = (sums - gap * gap) / 2 + 1e-9 * sums + 1e-6
-        order = np.argpartition(-bound, first - 1, axis=1)[:, :first] if first < len(v) else np.broadcast_to(np.arange(len(v)), bound.shape)
-        dense, seen = [], {}
-        for i in range(len(bound)):
-            at = order[i]
-            at = at[v_ids[at] != q_ids[lo + i]]
-            score = _products(q[lo + i : lo + i + 1], v[at])[0]
-            kth = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else None
-            rest = np.flatnonzero(bound[i] >= kth) if kth is not None else np.arange(len(v))
-            rest = rest[v_ids[rest] != q_ids[lo + i]]
-            if len(rest) > len(v) // 4:
-                dense.append(i)
-                continue
-            rest = rest[np.argsort(-bound[i][rest], kind="stable")]
-            got_at, got = [], []
-            for j in range(0, len(rest), 256):
-                if got and kth is not None and bound[i][rest[j]] < kth:
-                    break
-                got_at.append(rest[j : j + 256])
-                got.append(_products(q[lo + i : lo + i + 1], v[got_at[-1]])[0])
-                flat = np.concatenate(got)
-                if len(flat) >= k:
-                    kth = max(kth, np.partition(flat, len(flat) - k)[len(flat) - k]) if kth is not None else None
-            seen[i] = (np.concatenate(got_at), np.concatenate(got)) if got else (np.empty(0, int), np.empty(0, np.int64))
-        if dense:
-            for i, row in zip(dense, _products(q[part][dense], v), strict=True):
-                at = np.flatnonzero(v_ids != q_ids[lo + i])
-                seen[i] = (at, row[at])
-        for i, (at, score) in seen.items():
-            if len(at) > 4 * k:
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-                at, score = at[score >= kth], score[score >= kth]
+        bound = pivots.bounds(q_sq[part], q_far[part], v_sq, v_far)
+        for i, one in enumerate(bound, lo):
+            kth = q_least[i]
+            rest = np.flatnonzero((one >= kth) & (v_ids != q_ids[i]))
+            rest = rest[np.argsort(-one[rest], kind="stable")]
+            at, score, step = rest[:0], np.empty(0, np.int64), max(64, 2 * k)
+            while len(rest) and one[rest[0]] >= kth:
+                at = np.concatenate([at, rest[:step]])
+                score = np.concatenate([score, _products(q[i : i + 1], v[rest[:step]])[0]])
+                rest, step = rest[step:], step * 2
+                if len(score) >= k:
+                    kth = max(kth, _kth(score, k))
             best = np.lexsort((v_ids[at], -score))[:k]
-            yield q_ids[lo + i], v_ids[at[best]], score[best]
+            yield q_ids[i], v_ids[at[best]], score[best]
 
 
-def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, pivots: int = 16, block: int = 8192, query_block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
+def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, pivots: int = 64, block: int = 8192, query_block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k largest integer inner products of floor(scale * x).
 
     Up to `pivots` vectors are spread out over a sample of at most 1,024 rows (fixed bounds; they decide
-    speed only).  A first pass writes every vector with its distances to the pivots.  Queries and rows are
-    then cut in blocks; a task takes one block of queries and one of rows, so its memory is fixed; each
+    speed only).  A first pass writes every vector with its distances to the pivots, and every query with
+    its k-th score in the sample, below which nothing needs a look.  Queries and rows are then cut in
+    blocks; a task takes one block of queries and one of rows, so its memory is fixed; each
     task's best k go to a last ranking by query.  Ties go to the smaller id.
 
     Null vectors, empty ones, and those with null or non-finite components take no part; shorter vectors
@@ -121,27 +140,39 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, pivots: int = 16,
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(usable("e") & F.col("vec_id").isNotNull())
     sizes = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1)), F.max(F.size("e"))).first()
     n, n_q, dim = sizes[0], sizes[1], sizes[2] or 1
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(1024).select("e").toPandas()["e"]
-    far = _spread(np.floor(scale * _pack(list(sample), dim)), pivots)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(1024).select("vec_id", "e").toPandas()
+    s_ids, known = sample["vec_id"].to_numpy(dtype="int64"), np.floor(scale * _pack(list(sample["e"]), dim))
+    held_by = PivotTable(_spread(known, pivots))
     n_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_q // query_block))
 
-    def prepare(batches):
-        for b in batches:
-            m = np.floor(scale * _pack([np.asarray(x, dtype=float) for x in b["e"]], dim))
-            d = np.stack([np.linalg.norm(m - p, axis=1) for p in far], axis=1)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "q": b["q"], "v": [x.tobytes() for x in m], "far": [x.tobytes() for x in d]})
+    def least(ids: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The k-th score in the sample, or the least long where that has fewer rows."""
+        none = np.iinfo(np.int64).min
+        if len(s_ids) < k:
+            return np.full(len(m), none)
+        score = np.where(ids[:, None] == s_ids[None, :], none, _products(m, known))
+        return np.array([_kth(x, k) for x in score], dtype="int64")
 
-    held = materialize(rows.mapInPandas(prepare, "vec_id long, q boolean, v binary, far binary"), "topk")
+    def prepare(batches):
+        for whole in batches:
+            for lo in range(0, len(whole), 2048):
+                b = whole.iloc[lo : lo + 2048]
+                m = np.floor(scale * _pack([np.asarray(x, dtype=float) for x in b["e"]], dim))
+                asks, start = b["q"].to_numpy(dtype=bool), np.zeros(len(b), dtype="int64")
+                start[asks] = least(b["vec_id"].to_numpy()[asks], m[asks])
+                yield pd.DataFrame({"vec_id": b["vec_id"], "q": b["q"], "v": [x.tobytes() for x in m], "far": [x.tobytes() for x in held_by.distances(m)], "least": start})
+
+    held = materialize(rows.mapInPandas(prepare, "vec_id long, q boolean, v binary, far binary, least long"), "topk")
     right = held.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int"))
     right = right.select("b", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("a"), "vec_id", "v", "far")
-    asked = held.filter("q").groupBy("vec_id").agg(F.min(F.struct("v", "far")).alias("s")).select("vec_id", "s.*")
+    asked = held.filter("q").groupBy("vec_id").agg(F.min(F.struct("v", "far", "least")).alias("s")).select("vec_id", "s.*")
     left = asked.withColumn("a", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "vec_id", "v", "far")
+    left = left.select("a", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "vec_id", "v", "far", "least")
 
     def search(ql: pd.DataFrame, vr: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(ql) and len(vr):
-            for q, ids, score in _block_top(ql["vec_id"].to_numpy(), _matrix(ql["v"]), _matrix(ql["far"]), vr["vec_id"].to_numpy(), _matrix(vr["v"]), _matrix(vr["far"]), k):
+            for q, ids, score in _block_top(ql["vec_id"].to_numpy(), _matrix(ql["v"]), _matrix(ql["far"]), ql["least"].to_numpy(), vr["vec_id"].to_numpy(), _matrix(vr["v"]), _matrix(vr["far"]), k, held_by):
                 found.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 

@@ -82,6 +82,26 @@ def test_top_k_is_exact(spark):
     assert got == want
 
 
+def test_pivot_bounds_hold_and_leave_little(monkeypatch):
+    rng = np.random.default_rng(3)
+    m = np.floor(64 * rng.normal(size=(3000, 16)) / 4)
+    m[1000:1010] = m[0]
+    table = vectors.PivotTable(vectors._spread(m[:500], 64))
+    far, sq = table.distances(m), (m * m).sum(1)
+    bound = table.bounds(sq[:50], far[:50], sq, far)
+    assert (bound >= m[:50] @ m.T).all()
+    triangle = np.max([np.abs(a[:50, None] - a[None, :]) for a in far.T], axis=0)
+    assert (bound <= (sq[:50, None] + sq[None, :] - triangle**2) / 2 + 1e-3).all()
+    seen, plain = [], vectors._products
+    monkeypatch.setattr(vectors, "_products", lambda q, v: seen.append(len(v)) or plain(q, v))
+    ids = np.arange(len(m))
+    found = list(vectors._block_top(ids[:50], m[:50], far[:50], np.full(50, -(2**63)), ids, m, far, 20, table))
+    assert len(found) == 50 and sum(seen) < 50 * len(m) / 10
+    # pivots that all lie on one line, and a single row
+    flat = np.outer(np.arange(5.0), np.ones(3))
+    assert len(vectors._spread(flat, 64)) == 2 and len(vectors._spread(flat[:1], 64)) == 1
+
+
 def test_top_k_of_huge_values_and_nothing(spark):
     rows = [(0, [3e30, 1.0]), (20, [2e30, -1.0]), (1, [-1e30, 5.0])]
     got = vectors.exact_top_k(embeddings(spark, rows), F.col("vec_id") % 20 == 0, 2).filter("query_id = 0").orderBy("rank").collect()
