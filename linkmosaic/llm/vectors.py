@@ -136,6 +136,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, pivots: int = 64,
     Null vectors, empty ones, and those with null or non-finite components take no part; shorter vectors
     count as padded with zeros.  Rows that share the query's id are not its candidates; a query id that
     repeats is asked once, with its smallest vector.  Scores beyond a long are held at its ends.
+    An empty table, or one without queries, gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(usable("e") & F.col("vec_id").isNotNull())
     sizes = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1)), F.max(F.size("e"))).first()
