@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkmosaic.llm.common import table
-from linkmosaic.operators.components import connected_components
+from linkmosaic.operators.components import connected_components, merge_pairs
 from linkmosaic.sources.shared import materialize
 
 
@@ -202,11 +207,13 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np
     rng = np.random.default_rng(seed)
     c = sample[np.sort(rng.choice(len(sample), size=min(k, len(sample)), replace=False))].copy()
     for _ in range(rounds):
-        s = sample @ c.T
-        home = s.argmax(1)
+        home, fit = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for lo in range(0, len(sample), 1024):
+            s = sample[lo : lo + 1024] @ c.T
+            home[lo : lo + 1024], fit[lo : lo + 1024] = s.argmax(1), s.max(1)
         new = np.zeros_like(c)
         np.add.at(new, home, sample)
-        worst = iter(np.argsort(s.max(1), kind="stable"))
+        worst = iter(np.argsort(fit, kind="stable"))
         for i in np.flatnonzero(np.bincount(home, minlength=len(c)) == 0):
             new[i] = sample[next(worst)]
         norm = np.linalg.norm(new, axis=1, keepdims=True)
@@ -217,6 +224,52 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np
     return c
 
 
+def _dense(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column, shorter ones padded with zeros, and which of them are usable and not zero."""
+    lens, flat = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+    if (lens == dim).all():
+        m = flat.reshape(-1, dim)
+    else:
+        m, starts = np.zeros((len(lens), max(dim, lens.max(initial=0))), flat.dtype), np.cumsum(lens) - lens
+        m[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(starts, lens)] = flat
+    return m[:, :dim], np.isfinite(m).all(1) & (m != 0).any(1)
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    m = raw.astype(float)
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row; the same rows give the same bits, whatever stands beside them."""
+    return (a * b).sum(1)
+
+
+def _slack(dim: int) -> float:
+    """More than single precision can take off an inner product of unit vectors."""
+    return 2e-5 + 2e-7 * dim
+
+
+def _homes(unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Each row's best cell, the first of equal ones; a function of the row alone, so copies meet."""
+    s = unit.astype("f4") @ cells.astype("f4").T
+    r, c = np.nonzero(s >= s.max(1, keepdims=True) - _slack(unit.shape[1]))
+    exact = _dots(unit[r], cells[c])
+    order = np.lexsort((c, -exact, r))
+    return c[order][np.unique(r[order], return_index=True)[1]]
+
+
+def _merge_classes(vh, rep: np.ndarray, w: np.ndarray):
+    """(place of the first member, smallest rep, sum of w) of every class in vh."""
+    code, names = pd.factorize(np.array(list(vh), dtype=object))
+    first, least, total = np.full(len(names), len(code)), np.full(len(names), np.iinfo(np.int64).max), np.zeros(len(names), np.int64)
+    np.minimum.at(first, code, np.arange(len(code)))
+    np.minimum.at(least, code, rep)
+    np.add.at(total, code, w)
+    return first, least, total
+
+
 def _components_of(m: np.ndarray, left: np.ndarray, right: np.ndarray):
     """Of a block's boolean links: (id, smallest id of its part of the block) for all ends but the smallest."""
     seen_l, seen_r, out = np.zeros(len(left), bool), np.zeros(len(right), bool), []
@@ -237,6 +290,83 @@ def _components_of(m: np.ndarray, left: np.ndarray, right: np.ndarray):
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
 
+class _Block:
+    """Classes read from files of the shared folder, in the order of their cells."""
+
+    def __init__(self, parts: list[tuple[int, str]], kind: str, cells: np.ndarray) -> None:
+        read = []
+        for start, path in parts:
+            fs, at = pafs.FileSystem.from_uri(path)
+            t = pq.read_table(at, filesystem=fs, use_threads=False).to_pandas()
+            read.append(t.assign(at=np.arange(start, start + len(t))))
+        t = pd.concat(read).sort_values("home", kind="stable")
+        self.vh, self.rep, self.w, self.home, self.at = t["vh"].to_numpy(), t["rep"].to_numpy(), t["w"].to_numpy(float), t["home"].to_numpy(), t["at"].to_numpy()
+        self.raw = np.frombuffer(b"".join(t["v"]), dtype=kind).reshape(len(t), -1)
+        unit = _units(self.raw)
+        self.single, self.top = unit.astype("f4"), _dots(unit, cells[self.home]).astype("f4")
+
+    def units(self, at: np.ndarray) -> np.ndarray:
+        return _units(self.raw[at])
+
+
+def _settle(left: _Block, p: np.ndarray, right: _Block, q: np.ndarray, cell: int, cells: np.ndarray, threshold: float):
+    """Of natives p of the cell and its natives and guests q: the links that this cell counts, and which q are guests.
+
+    A link of two cells is counted in the cell that its guest lies nearer to, the first one on a tie.
+    """
+    a, b, home = left.units(p), right.units(q), right.home[q]
+    cos = a @ b.T
+    i, j = np.nonzero(np.abs(cos - threshold) < 1e-9)
+    cos[i, j] = _dots(a[i], b[j])
+    m = (cos >= threshold) & (left.at[p][:, None] != right.at[q][None, :])
+    for h in np.unique(home[m.any(0) & (home != cell)]):
+        of = np.flatnonzero(home == h)
+        far_l, far_r = _dots(a, cells[cell]) - _dots(a, cells[h]), _dots(b[of], cells[h]) - _dots(b[of], cells[cell])
+        m[:, of] &= (far_r[None, :] < far_l[:, None]) | ((far_r[None, :] == far_l[:, None]) & (cell < h))
+    return m, home != cell
+
+
+def _compare(left: _Block, rights, cells: np.ndarray, threshold: float, native_block: int, guest_block: int):
+    """(vh, rep, other, links) frames: degrees of the links of the natives in `left` with all of `rights`, and a spanning forest."""
+    half, slack = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-9, _slack(cells.shape[1])
+    here, starts = np.unique(left.home, return_index=True)
+    ends = np.append(starts[1:], len(left.home))
+    centres = cells[here].astype("f4")
+    reach = np.stack([half * np.linalg.norm(cells - c, axis=1) + slack for c in cells[here]]).astype("f4")
+    forest, of_left = [], np.zeros(len(left.rep))
+
+    def degrees(block: _Block, links: np.ndarray) -> pd.DataFrame:
+        on = links > 0
+        return pd.DataFrame({"vh": block.vh[on], "rep": block.rep[on], "other": block.rep[on], "links": links[on].astype("int64")})
+
+    for right in rights:
+        of_right = np.zeros(len(right.rep))
+        for lo in range(0, len(right.rep), guest_block):
+            part = slice(lo, lo + guest_block)
+            near = centres @ right.single[part].T >= right.top[part] - reach[:, right.home[part]]
+            for x, cell in enumerate(here):
+                g = lo + np.flatnonzero(near[x])
+                guests = right.single[g]
+                for start in range(starts[x], ends[x], native_block) if len(g) else ():
+                    s = left.single[start : min(start + native_block, ends[x])] @ guests.T
+                    cols = np.flatnonzero(s.max(0) >= threshold - slack)
+                    if not len(cols):
+                        continue
+                    p, q = start + np.flatnonzero((s[:, cols] >= threshold - slack).any(1)), g[cols]
+                    m, cross = _settle(left, p, right, q, cell, cells, threshold)
+                    of_left[p] += m @ right.w[q]
+                    of_right[q[cross]] += left.w[p] @ m[:, cross]
+                    forest.append(_components_of(m, left.rep[p], right.rep[q]))
+        yield degrees(right, of_right)
+    yield degrees(left, of_left)
+    found = np.concatenate(forest, axis=1) if forest else np.empty((2, 0), np.int64)
+    ids, at = np.unique(found, return_inverse=True)
+    at = at.reshape(2, -1)
+    root = ids[merge_pairs(len(ids), at[0], at[1])]
+    hung = ids != root
+    yield pd.DataFrame({"vh": None, "rep": ids[hung], "other": root[hung], "links": 0})
+
+
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, sample_rows: int = 8192, native_block: int = 2048, guest_block: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for the links with cosine >= threshold.
 
@@ -244,116 +374,91 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, sample_rows: i
     gives cells; every class lives in the cell of its best centroid.  Two unit vectors with cosine >= t
     are at most r = sqrt(2 - 2t) apart, so if they live in cells a and b, one of them lies within r / 2 of
     the plane between a and b: every class is also a guest in the cells for which this holds.  So no link
-    is lost (recall 1), and a link between cells is counted in the first cell that has both.  Inside a cell
-    blocks of natives meet blocks of natives and guests: a hot cell gives more tasks, not a larger one.
-    Tasks give degrees and a spanning forest of their links, not the pairs; components follow by star rounds.
+    is lost (recall 1), and a link between cells is counted in one of them.
+
+    Guests are never written: the classes lie once in the shared folder, in files of some guest_block rows
+    in the order of their cells, as they came (in single precision if the column is).  A task reads a run of files as
+    natives and passes over another run, picking the guests of each cell as it reads, native_block natives
+    at once; a hot cell fills more files, not a larger task.  Single precision with a margin picks pairs,
+    double precision decides.  Tasks give degrees and a spanning forest of their links, not the pairs;
+    components follow by star rounds.
 
     Null, empty, zero vectors and those with null or non-finite components have no links and are kept.
     Shorter vectors count as padded with zeros.  Repeated rows: each is a vector, linked with its copies;
     rows that share an id are one node of the graph.  No rows: no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e"))
-    good = rows.filter(usable("e") & F.exists("e", lambda x: x != 0))
-    dim = good.agg(F.max(F.size("e"))).first()[0] or 1
-
-    def prepare(batches):
-        for b in batches:
-            m = _pack([np.asarray(x, dtype=float) for x in b["e"]], dim)
-            m = m / np.abs(m).max(axis=1, keepdims=True)
-            m /= np.sqrt((m * m).sum(1, keepdims=True))
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [x.tobytes() for x in m]})
-
-    unit_rows = materialize(good.mapInPandas(prepare, "vec_id long, v binary").withColumn("vh", F.md5("v")), "vec")
-    classes = materialize(unit_rows.groupBy("vh").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.min("v").alias("v")), "vec")
-    n = classes.count()
+    kind = "<f4" if rows.schema["e"].dataType.elementType == T.FloatType() else "<f8"
+    rows = rows.withColumn("e", F.col("e").cast("array<float>" if kind == "<f4" else "array<double>"))
+    good = usable("e") & F.exists("e", lambda x: x != 0)
+    n, dim, distinct = rows.filter(good).agg(F.count("*"), F.max(F.size("e")), F.approx_count_distinct(F.xxhash64("e"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = classes.orderBy("vh").limit(sample_rows).select("v").toPandas()["v"]
-    cells = fit_cells(_matrix(list(sample)), k=min(1024, max(8, math.isqrt(n) // 4)))
-    half = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-9
-    between = np.linalg.norm(cells[:, None, :] - cells[None, :, :], axis=2)
+    share = min(1.0, sample_rows / distinct)
+    drawn = rows.select(F.xxhash64("e").alias("h"), "e").filter(F.col("h") <= min(2**63 - 1, int(share * 2.0**64) - 2**63))
+    sample = drawn.filter(good).dropDuplicates(["h"]).orderBy("h").limit(sample_rows).toPandas()["e"]
+    if not len(sample):
+        sample = rows.filter(good).select("e").limit(1).toPandas()["e"]
+    cells = fit_cells(_units(_pack(list(sample), dim)), k=min(4096, max(8, distinct // 256)))
 
-    def assign(batches):
+    def named(batches):
         for b in batches:
-            for lo in range(0, len(b), 4096):
-                p = b.iloc[lo : lo + 4096]
-                s = _matrix(list(p["v"])) @ cells.T
-                home = s.argmax(1)
-                near = (s.max(1, keepdims=True) - s) <= half * between[home]
-                near[np.arange(len(p)), home] = False
-                yield pd.DataFrame({"rep": p["rep"].to_numpy(), "w": p["w"].to_numpy(), "v": p["v"].to_numpy(), "home": home.astype("int32"), "guests": [np.flatnonzero(x).astype("int32") for x in near]})
-
-    placed = materialize(classes.mapInPandas(assign, "rep long, w long, v binary, home int, guests array<int>"), "vec")
-    counts = placed.groupBy(F.col("home").alias("cell")).count().toPandas()
-    guests = placed.select(F.explode("guests").alias("cell")).groupBy("cell").count().toPandas()
-    # one number a cell, 1,024 cells at most
-    nb = {c: -(-k // native_block) for c, k in counts.itertuples(index=False)}
-    gb = {c: -(-k // guest_block) for c, k in guests.itertuples(index=False)}
-    lit_of = lambda d: F.array(*[F.lit(int(d.get(c, 0))) for c in range(len(cells))])
-    n_nat, n_gst = F.element_at(lit_of(nb), F.col("cell") + 1), F.element_at(lit_of(gb), F.col("cell") + 1)
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    task = lambda i, kind, j, role: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"), F.lit(role).alias("role"))
-    one = F.lit(1)
-    natives = placed.withColumn("cell", F.col("home")).withColumn("n", n_nat).withColumn("g", n_gst).withColumn("i", F.pmod(F.xxhash64("rep", "v"), F.col("n")).cast("int"))
-    as_left = F.concat(
-        F.transform(span(F.col("i"), F.col("n") - one), lambda j: task(F.col("i"), 0, j, 0)),
-        F.transform(span(F.lit(0), F.col("g") - one), lambda j: task(F.col("i"), 1, j, 0)),
-        F.transform(span(F.lit(0), F.col("i") - one), lambda j: task(j, 0, F.col("i"), 1)),
-    )
-    visitors = placed.withColumn("cell", F.explode("guests")).withColumn("n", n_nat).withColumn("g", n_gst).withColumn("i", F.pmod(F.xxhash64("rep", "v"), F.col("g")).cast("int"))
-    as_right = F.transform(span(F.lit(0), F.col("n") - one), lambda j: task(j, 1, F.col("i"), 1))
-    keep = ["cell", "rep", "w", "v", "home"]
-    members = natives.select(*keep, "guests", F.explode(as_left).alias("t")).unionByName(visitors.select(*keep, F.array().cast("array<int>").alias("guests"), F.explode(as_right).alias("t")))
-    members = members.select(*keep, "guests", "t.*")
-    k_cells = len(cells)
-
-    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        cell, i, kind, j = (int(x) for x in key)
-        left = g[g["role"] == 0]
-        right = left if kind == 0 and i == j else g[g["role"] == 1]
-        none = pd.DataFrame({"rep": [], "other": [], "links": []}, dtype="int64")
-        if not len(left) or not len(right):
-            return none
-        a, b = _matrix(list(left["v"])), _matrix(list(right["v"]))
-        ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
-        wa, wb = left["w"].to_numpy(float), right["w"].to_numpy(float)
-        m = np.empty((len(a), len(b)), bool)
-        for lo in range(0, len(a), 256):
-            m[lo : lo + 256] = a[lo : lo + 256] @ b.T >= threshold
-        da, db = np.zeros(len(a)), np.zeros(len(b))
-        if kind:
-            homes = right["home"].to_numpy()
-            there = np.zeros((len(a), k_cells), bool)
-            for x, cs in enumerate(left["guests"]):
-                there[x, cs] = True
-        for lo in range(0, len(a), 256):
-            part = m[lo : lo + 256]
-            if not part.any():
-                continue
-            if kind:
-                part = part & ((cell < homes)[None, :] | ~there[lo : lo + 256][:, homes])
-            elif i == j:
-                part = part.copy()
-                part[np.arange(len(part)), np.arange(lo, lo + len(part))] = False
-            part = part.astype(float)
-            da[lo : lo + 256] = part @ wb
-            if right is not left:
-                db += wa[lo : lo + 256] @ part
-        forest = _components_of(m, ra, rb)
-        parts = [np.stack([ra[da > 0], ra[da > 0], da[da > 0].astype(np.int64)]), np.concatenate([forest, np.zeros((1, forest.shape[1]), np.int64)])]
-        if right is not left:
-            parts.append(np.stack([rb[db > 0], rb[db > 0], db[db > 0].astype(np.int64)]))
-        out = np.concatenate(parts, axis=1).astype(np.int64)
-        return pd.DataFrame({"rep": out[0], "other": out[1], "links": out[2]}) if out.shape[1] else none
-
-    found = materialize(members.groupBy("cell", "i", "kind", "j").applyInPandas(compare, "rep long, other long, links long"), "vec")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+            for lo in range(0, b.num_rows, 4096):
+                p = b.slice(lo, 4096)
+                raw, ok = _dense(p.column(1), dim)
+                raw = raw[ok].astype(kind)
+                unit = _units(raw)
+                yield p.column(0), ok, raw, unit, [hashlib.md5(x.tobytes()).digest() for x in unit]
+
+    def place(batches):
+        for ids, ok, raw, unit, vh in named(batches):
+            first, rep, w = _merge_classes(vh, ids.fill_null(2**63 - 1).to_numpy()[ok], np.ones(len(vh), np.int64))
+            home = _homes(unit[first], cells).astype("int32")
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array([vh[i] for i in first], pa.binary()), pa.array(rep), pa.array(w), pa.array([raw[i].tobytes() for i in first], pa.binary())], ["home", "vh", "rep", "w", "v"])
+
+    def names(batches):
+        for ids, ok, _, _, vh in named(batches):
+            of_all = np.full(len(ok), None, dtype=object)
+            of_all[ok] = vh
+            yield pa.RecordBatch.from_arrays([ids, pa.array(of_all, pa.binary())], ["vec_id", "vh"])
+
+    def join_classes(batches):
+        whole = list(batches)
+        if whole:
+            t = pd.concat(whole, ignore_index=True)
+            first, rep, w = _merge_classes(t["vh"], t["rep"].to_numpy(), t["w"].to_numpy())
+            yield t.iloc[first].assign(rep=rep, w=w).sort_values("home", kind="stable")
+
+    columns = "home int, vh binary, rep long, w long, v binary"
+    dealt = rows.mapInArrow(place, columns).repartitionByRange(max(1, -(-distinct // guest_block)), "home", "vh")
+    placed = materialize(dealt.mapInPandas(join_classes, columns), "vec")
+    files = placed.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("home").alias("a"), F.max("home").alias("b"), F.count("*").alias("n")).orderBy("a", "b", "path").collect()
+    blocks, start = [], 0
+    for f in files:
+        part = (start, f"{placed._linkmosaic_path}/{f['path'].rsplit('/', 1)[1]}")
+        if blocks and start + f["n"] - blocks[-1][0][0] <= guest_block:
+            blocks[-1].append(part)
+        else:
+            blocks.append([part])
+        start += f["n"]
+    run = min(8, max(1, len(blocks) // 8))
+    runs = [blocks[i : i + run] for i in range(0, len(blocks), run)]
+
+    def compare(batches):
+        for t in (x for b in batches for x in b["id"]):
+            i, j = divmod(int(t), len(runs))
+            left = _Block([part for block in runs[i] for part in block], kind, cells)
+            yield from _compare(left, (_Block(block, kind, cells) for block in runs[j]), cells, threshold, native_block, guest_block)
+
+    tasks = df.sparkSession.range(0, len(runs) ** 2, 1, min(4096, len(runs) ** 2))
+    found = materialize(tasks.mapInPandas(compare, "vh binary, rep long, other long, links long"), "vec")
+    links = found.filter("vh is not null").groupBy("vh").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("rep <> other").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    per_class = classes.select("vh", "rep", "w").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    per_class = placed.select("vh", "rep", "w").join(links, "vh", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left").filter("w > 1 or links is not null or component is not null")
     per_class = per_class.select("vh", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = unit_rows.select("vec_id", "vh").join(per_class, "vh").select("vec_id", "n_links", "component_id")
-    alone = rows.filter(~(usable("e") & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    linked = rows.mapInArrow(names, "vec_id long, vh binary").join(per_class, "vh", "left")
+    linked = linked.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return linked.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_cell_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Corpus operators against brute force and SQL, and on nulls, empty and long texts, ties, repeated rows and empty tables."""
 
 import hashlib
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmosaic.llm import licenses, mixing, packing, quality, queries, sharding, simhash, suffixes, vectors, warc
+from linkmosaic.operators.components import merge_pairs
+from linkmosaic.sources.shared import shared_dir
 
 DOCS = T.StructType([T.StructField(n, T.StringType() if n not in ("doc_id", "n_chars") else T.LongType()) for n in ("doc_id", "text", "lang", "source", "n_chars", "_b", "key", "_extra", "score", "grams")])
 
@@ -128,6 +132,33 @@ def test_near_vectors_against_brute_force(spark):
     assert vectors.near_duplicate_vectors(embeddings(spark, [])).count() == 0
 
 
+def test_near_vectors_across_many_cells_and_files(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2600, 8))
+    tight = rng.normal(size=(1, 8)) + 1e-3 * rng.normal(size=(300, 8))
+    m = np.concatenate([base, tight, 2 * base[:100], np.repeat(tight[:1], 50, axis=0)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicate_vectors(df, native_block=100, guest_block=150).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    ids, at = np.nonzero(near)
+    label = merge_pairs(len(m), ids, at)
+    assert got == {i: (int(near[i].sum()) - 1, int(label[i])) for i in range(len(m))}
+
+
+def test_near_vectors_are_not_written_for_every_cell(spark):
+    """What lies on disk is a small multiple of the vectors, also where every cell has many guests."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(12_000, 64)).astype("f4")
+    df = embeddings(spark, list(enumerate(m.tolist())))
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [*local.localDirsString(), re.sub("^file:/*", "/", shared_dir(spark))]
+    held = lambda: {f: os.path.getsize(f) for top in folders for d, _, names in os.walk(top) for x in names if os.path.exists(f := f"{d}/{x}")}
+    before = held()
+    assert vectors.near_duplicate_vectors(df).filter("n_links = 0 and kept").count() == len(m)
+    assert sum(n for f, n in held().items() if f not in before) < 4 * m.nbytes
+
+
 # ---------------------------------------------------------------- quality
 
 
