@@ -253,11 +253,34 @@ def _slack(dim: int) -> float:
 
 def _homes(unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """Each row's best cell, the first of equal ones; a function of the row alone, so copies meet."""
-    s = unit.astype("f4") @ cells.astype("f4").T
-    r, c = np.nonzero(s >= s.max(1, keepdims=True) - _slack(unit.shape[1]))
-    exact = _dots(unit[r], cells[c])
+    s, every = unit.astype("f4") @ cells.astype("f4").T, np.arange(len(unit))
+    home = s.argmax(1)
+    top = s[every, home]
+    s[every, home] = -np.inf
+    close = np.flatnonzero(s.max(1) >= top - _slack(unit.shape[1]))
+    s[every, home] = top
+    r, c = np.nonzero(s[close] >= top[close, None] - _slack(unit.shape[1]))
+    exact = _dots(unit[close[r]], cells[c])
     order = np.lexsort((c, -exact, r))
-    return c[order][np.unique(r[order], return_index=True)[1]]
+    home[close] = c[order][np.unique(r[order], return_index=True)[1]]
+    return home
+
+
+def screen_axes(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """Leading axes of the sample, as columns: as many as let one unlinked pair of it in 100,000 through `_screened`."""
+    axes, some = np.linalg.eigh(sample.T @ sample)[1][:, ::-1], sample[:1024]
+    unlinked = some @ some.T < threshold
+    for p in range(8, sample.shape[1] - 8, 8):
+        kept = _screened(some, axes[:, :p])
+        if ((kept @ kept.T >= threshold) & unlinked).mean() <= 1e-5:
+            return np.ascontiguousarray(axes[:, :p])
+    return axes
+
+
+def _screened(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Rows whose inner products bound those of the unit vectors from above: places on the axes, and the length of the rest."""
+    lead = unit @ axes
+    return np.hstack([lead, np.sqrt(np.maximum(0, 1 - (lead * lead).sum(1, keepdims=True)))]).astype("f4")
 
 
 def _merge_classes(vh, rep: np.ndarray, w: np.ndarray):
@@ -293,7 +316,7 @@ def _components_of(m: np.ndarray, left: np.ndarray, right: np.ndarray):
 class _Block:
     """Classes read from files of the shared folder, in the order of their cells."""
 
-    def __init__(self, parts: list[tuple[int, str]], kind: str, cells: np.ndarray) -> None:
+    def __init__(self, parts: list[tuple[int, str]], kind: str, cells: np.ndarray, axes: np.ndarray) -> None:
         read = []
         for start, path in parts:
             fs, at = pafs.FileSystem.from_uri(path)
@@ -303,7 +326,7 @@ class _Block:
         self.vh, self.rep, self.w, self.home, self.at = t["vh"].to_numpy(), t["rep"].to_numpy(), t["w"].to_numpy(float), t["home"].to_numpy(), t["at"].to_numpy()
         self.raw = np.frombuffer(b"".join(t["v"]), dtype=kind).reshape(len(t), -1)
         unit = _units(self.raw)
-        self.single, self.top = unit.astype("f4"), _dots(unit, cells[self.home]).astype("f4")
+        self.single, self.screen, self.top = unit.astype("f4"), _screened(unit, axes), _dots(unit, cells[self.home]).astype("f4")
 
     def units(self, at: np.ndarray) -> np.ndarray:
         return _units(self.raw[at])
@@ -333,7 +356,7 @@ def _compare(left: _Block, rights, cells: np.ndarray, threshold: float, native_b
     ends = np.append(starts[1:], len(left.home))
     centres = cells[here].astype("f4")
     reach = np.stack([half * np.linalg.norm(cells - c, axis=1) + slack for c in cells[here]]).astype("f4")
-    forest, of_left = [], np.zeros(len(left.rep))
+    forest, of_left, room = [], np.zeros(len(left.rep)), np.empty(native_block * guest_block, "f4")
 
     def degrees(block: _Block, links: np.ndarray) -> pd.DataFrame:
         on = links > 0
@@ -346,9 +369,10 @@ def _compare(left: _Block, rights, cells: np.ndarray, threshold: float, native_b
             near = centres @ right.single[part].T >= right.top[part] - reach[:, right.home[part]]
             for x, cell in enumerate(here):
                 g = lo + np.flatnonzero(near[x])
-                guests = right.single[g]
+                guests = right.screen[g]
                 for start in range(starts[x], ends[x], native_block) if len(g) else ():
-                    s = left.single[start : min(start + native_block, ends[x])] @ guests.T
+                    mine = left.screen[start : min(start + native_block, ends[x])]
+                    s = np.matmul(mine, guests.T, out=room[: len(mine) * len(g)].reshape(len(mine), len(g)))
                     cols = np.flatnonzero(s.max(0) >= threshold - slack)
                     if not len(cols):
                         continue
@@ -379,8 +403,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, sample_rows: i
     Guests are never written: the classes lie once in the shared folder, in files of some guest_block rows
     in the order of their cells, as they came (in single precision if the column is).  A task reads a run of files as
     natives and passes over another run, picking the guests of each cell as it reads, native_block natives
-    at once; a hot cell fills more files, not a larger task.  Single precision with a margin picks pairs,
-    double precision decides.  Tasks give degrees and a spanning forest of their links, not the pairs;
+    at once; a hot cell fills more files, not a larger task.  Bounds from the leading axes of the sample, in single
+    precision with a margin, pick pairs; double precision decides.  Tasks give degrees and a spanning forest of their links, not the pairs;
     components follow by star rounds.
 
     Null, empty, zero vectors and those with null or non-finite components have no links and are kept.
@@ -399,7 +423,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, sample_rows: i
     sample = drawn.filter(good).dropDuplicates(["h"]).orderBy("h").limit(sample_rows).toPandas()["e"]
     if not len(sample):
         sample = rows.filter(good).select("e").limit(1).toPandas()["e"]
-    cells = fit_cells(_units(_pack(list(sample), dim)), k=min(4096, max(8, distinct // 256)))
+    sample = _units(_pack(list(sample), dim))
+    cells, axes = fit_cells(sample, k=min(4096, max(8, distinct // 256))), screen_axes(sample, threshold)
 
     def named(batches):
         for b in batches:
@@ -447,8 +472,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, sample_rows: i
     def compare(batches):
         for t in (x for b in batches for x in b["id"]):
             i, j = divmod(int(t), len(runs))
-            left = _Block([part for block in runs[i] for part in block], kind, cells)
-            yield from _compare(left, (_Block(block, kind, cells) for block in runs[j]), cells, threshold, native_block, guest_block)
+            left = _Block([part for block in runs[i] for part in block], kind, cells, axes)
+            yield from _compare(left, (_Block(block, kind, cells, axes) for block in runs[j]), cells, threshold, native_block, guest_block)
 
     tasks = df.sparkSession.range(0, len(runs) ** 2, 1, min(4096, len(runs) ** 2))
     found = materialize(tasks.mapInPandas(compare, "vh binary, rep long, other long, links long"), "vec")
